@@ -19,10 +19,6 @@ def moment_pattern(group: int = 1) -> str:
 DAY_MS = 86_400_000
 
 
-def _int(text: Column) -> Column:
-    return text.try_cast("int").cast("long")
-
-
 def parse_moment_ms(text: Column, dayfirst: bool = True) -> Column:
     """Epoch milliseconds (UTC) of a moment written as text; NULL where it is none.
 
@@ -33,21 +29,16 @@ def parse_moment_ms(text: Column, dayfirst: bool = True) -> Column:
     offset the moment is UTC. Null, empty, blank-padded texts and impossible
     dates give NULL.
     """
-    part = r"^([0-9]{1,2}).([0-9]{1,2}).([0-9]{4})([\s\S]*)$"
-    first, second = (F.lpad(F.regexp_extract(text, part, k), 2, "0") for k in (1, 2))
-    day, month = (first, second) if dayfirst else (second, first)
-    swapped = F.concat(F.regexp_extract(text, part, 3), F.lit("-"), month, F.lit("-"), day, F.regexp_extract(text, part, 4))
-    plain = F.when(F.substring(text, 5, 1).isin("-", "/"), text).otherwise(swapped)
-    date = F.translate(F.substring(plain, 1, 10), "/", "-").try_cast("date")
-    at = lambda k, n: _int(F.substring(plain, k, n))
-    fraction = F.when(F.substring(plain, 20, 1) == ".", _int(F.rpad(F.substring(F.regexp_extract(plain, r"\.([0-9]*)", 1), 1, 3), 3, "0"))).otherwise(F.lit(0).cast("long"))
-    offset = F.regexp_extract(plain, r"([+-])([0-9]{2}):?([0-9]{2})\z", 1)
-    minutes = _int(F.regexp_extract(plain, r"([+-])([0-9]{2}):?([0-9]{2})\z", 2)) * 60 + _int(F.regexp_extract(plain, r"([+-])([0-9]{2}):?([0-9]{2})\z", 3))
-    shift = (
-        F.when((F.length(plain) < 24) | plain.endswith("Z"), F.lit(0).cast("long"))
-        .when(offset == "-", -minutes)
-        .when(offset == "+", minutes)
-        .otherwise(F.lit(0).cast("long"))
+    # the common spelling goes straight to Spark's own parser; it takes offsets up to 17:59
+    usual = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T" + _CLOCK + r"(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])\z"
+    order = "$3-$2-$1" if dayfirst else "$3-$1-$2"
+    plain = F.regexp_replace(text, r"^([0-9]{4})/([0-9]{2})/", "$1-$2-")
+    plain = F.regexp_replace(plain, r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})", order)
+    zone = r"([+-])([0-9]{2}):?([0-9]{2})\z"
+    timed = plain.contains(":")
+    offset = F.when(timed & plain.rlike(zone), F.regexp_extract(plain, zone, 2).try_cast("int") * 60 + F.regexp_extract(plain, zone, 3).try_cast("int")).otherwise(F.lit(0))
+    offset = F.when(F.regexp_extract(plain, zone, 1) == "-", -offset).otherwise(offset)
+    utc = F.when(timed, F.concat(F.regexp_replace(plain, r"(?:Z|[+-][0-9]{2}:?[0-9]{2})\z", ""), F.lit("Z"))).otherwise(F.concat(plain, F.lit("T00:00:00Z")))
+    return F.when(text.rlike(usual), F.unix_millis(text.try_cast("timestamp"))).when(
+        text.rlike(rf"^{moment_pattern()}\z"), F.unix_millis(utc.try_cast("timestamp")) - offset.cast("long") * 60_000
     )
-    clock = F.when(F.length(plain) <= 10, F.lit(0).cast("long")).otherwise(at(12, 2) * 3_600_000 + at(15, 2) * 60_000 + at(18, 2) * 1000 + fraction - shift * 60_000)
-    return F.when(text.rlike(rf"^{moment_pattern()}\z"), F.unix_date(date).cast("long") * DAY_MS + clock)

@@ -103,12 +103,13 @@ def flag_implausible(
     present = {"p": F.col("price").isNotNull() & ~F.isnan("price"), "v": F.col("volume").isNotNull()}
     shards = time_shards(stored, ["source"], "ms", present, rows=shard_rows, halo=HALO)
 
-    # steps between successive valid prices, rows sent again passed over
+    # steps between successive valid prices, rows sent again (equal to one of the last three) passed over
     valid = (F.col("price") > 0) & (F.col("price") < float("inf"))  # NaN counts as larger than all
-    twin = Window.partitionBy("source", "shard").orderBy("ms", "price", "quote_id")
-    again = (F.lag("ms").over(twin) == F.col("ms")) & (F.lag("price").over(twin) == F.col("price"))
     line = Window.partitionBy("source", "shard").orderBy("ms", "quote_id")
-    prices = shards.where(valid).select("source", "shard", "core", "ms", "quote_id", "price", F.coalesce(again, F.lit(False)).alias("again")).where(~F.col("again"))
+    again = F.lit(False)
+    for k in (1, 2, 3):
+        again = again | F.coalesce((F.lag("ms", k).over(line) == F.col("ms")) & (F.lag("price", k).over(line) == F.col("price")), F.lit(False))
+    prices = shards.where(valid).select("source", "shard", "core", "ms", "quote_id", "price", again.alias("again")).where(~F.col("again"))
     log = F.ln(F.col("price"))
     steps = prices.select("source", "core", "price", F.lag("price").over(line).alias("last"), (log - F.lag(log).over(line)).alias("r"), F.lag(log).over(line).alias("log1"), F.lag(log, 2).over(line).alias("log2"))
     steps = materialize(

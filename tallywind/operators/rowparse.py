@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import moment_pattern, parse_moment_ms
+from ..session import evaluated
 
 #: The texts that stand for a missing value.
 MISSING = ("", "NA", "null", "N/A", "NULL")
@@ -50,11 +51,6 @@ def row_patterns(schema: Sequence[Field]) -> list[str]:
     return patterns
 
 
-def _evaluated(rows: DataFrame, keep: Sequence[str], columns: list) -> DataFrame:
-    """rows with the columns evaluated once: filters above do not copy their expressions below."""
-    return rows.select(*keep, F.inline(F.array(F.struct(*columns))))
-
-
 def parse_rows(df: DataFrame, raw: str, schema: Sequence[Field], keep: Sequence[str] = ()) -> DataFrame:
     """Each record of df.raw as one row: `keep` columns, `reason`, and the typed schema columns.
 
@@ -94,7 +90,7 @@ def parse_rows(df: DataFrame, raw: str, schema: Sequence[Field], keep: Sequence[
         text = F.when(text.startswith('"'), F.replace(F.substring(text, F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))).otherwise(text)
         return F.when(~text.isin(*MISSING), text)
 
-    rows = _evaluated(rows, keep, ["__line", "__fits", "__shape", *[value(i).alias(f"__v{i}") for i in range(n)]])
+    rows = evaluated(rows, keep, ["__line", "__fits", "__shape", *[value(i).alias(f"__v{i}") for i in range(n)]])
     typed, broken = [], []
     for i, field in enumerate(schema):
         v = F.col(f"__v{i}")
@@ -120,6 +116,6 @@ def parse_rows(df: DataFrame, raw: str, schema: Sequence[Field], keep: Sequence[
     for i, (field, prefix) in enumerate(zip(schema, prefixes)):
         broken_here = F.col(f"__b{i}") | (~F.col("__fits") & ~F.col("__line").rlike(prefix))
         reason = reason.when(broken_here, f"bad_{field.name}")
-    rows = _evaluated(rows, keep, [reason.alias("reason"), *[f"__x{i}" for i in range(n)]])
+    rows = evaluated(rows, keep, [reason.alias("reason"), *[f"__x{i}" for i in range(n)]])
     good = F.col("reason").isNull()
     return rows.select(*keep, "reason", *[F.when(good, F.col(f"__x{i}")).alias(f.name) for i, f in enumerate(schema)])

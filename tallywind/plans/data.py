@@ -11,7 +11,7 @@ from ..operators.grid import regular_grid
 from ..operators.profile import differing_loads, profile_loads
 from ..operators.rowparse import Field, parse_rows
 from ..operators.trailing import trailing_totals
-from ..session import materialize
+from ..session import evaluated, materialize
 
 QUOTE_FIELDS = (Field("timestamp", "moment"), Field("asset", "string"), Field("price", "double"), Field("volume", "bigint"))
 
@@ -20,21 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def known_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of cotacoes with a known asset and a moment, with `ms` and the asset's grid."""
-    grid = table(spark, d, "ativos").select("asset", "grid_min")
-    rows = table(spark, d, "cotacoes").select("quote_id", "asset", "price", "volume", parse_moment_ms(F.col("timestamp")).alias("ms"))
-    return rows.join(grid, "asset").where(F.col("ms").isNotNull())
+def moments(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The `keep` columns of quote rows and their moment `ms`; rows without a moment are left out."""
+    return evaluated(rows, keep, [parse_moment_ms(F.col("timestamp")).alias("ms")]).where(F.col("ms").isNotNull())
 
 
-def feed_quotes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "cotacoes_shib_brl").select("quote_id", "price", "volume", parse_moment_ms(F.col("timestamp")).alias("ms"))
-    return rows.where(F.col("ms").isNotNull())
+def known_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of cotacoes with a known asset and a moment."""
+    rows = moments(table(spark, d, "cotacoes"), ["quote_id", "asset", "price", "volume"])
+    return rows.join(table(spark, d, "ativos").select("asset"), "asset")
 
 
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     quotes = known_quotes(spark, d).select(F.concat(F.lit("cotacoes/"), "asset").alias("source"), "quote_id", "ms", "price", "volume")
-    feed = feed_quotes(spark, d).select(F.lit("cotacoes_shib_brl/SHIB_BRL").alias("source"), "quote_id", "ms", "price", "volume")
+    feed = moments(table(spark, d, "cotacoes_shib_brl"), ["quote_id", "price", "volume"]).withColumn("source", F.lit("cotacoes_shib_brl/SHIB_BRL"))
     return flag_implausible(quotes.unionByName(feed))
 
 
@@ -43,10 +42,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
-    quotes = known_quotes(spark, d).select(F.lit("cotacoes").alias("tbl"), "asset", "ms", "price", F.col("grid_min").alias("step_min"))
-    step = table(spark, d, "ativos").where(F.col("asset") == "SHIB_BRL").select("asset", F.col("feed_grid_min").alias("step_min"))
-    feed = feed_quotes(spark, d).withColumn("asset", F.lit("SHIB_BRL")).join(step, "asset").select(F.lit("cotacoes_shib_brl").alias("tbl"), "asset", "ms", "price", "step_min")
-    return regular_grid(quotes.unionByName(feed), ["tbl", "asset"], "ms", "price", "step_min")
+    assets = table(spark, d, "ativos")
+    steps = assets.select(F.lit("cotacoes").alias("tbl"), "asset", F.col("grid_min").alias("step_min"))
+    steps = steps.unionByName(assets.where(F.col("asset") == "SHIB_BRL").select(F.lit("cotacoes_shib_brl").alias("tbl"), "asset", F.col("feed_grid_min").alias("step_min")))
+    quotes = moments(table(spark, d, "cotacoes"), ["asset", "price"]).withColumn("tbl", F.lit("cotacoes"))
+    feed = moments(table(spark, d, "cotacoes_shib_brl"), ["price"]).withColumns({"tbl": F.lit("cotacoes_shib_brl"), "asset": F.lit("SHIB_BRL")})
+    return regular_grid(quotes.unionByName(feed).join(steps, ["tbl", "asset"]), ["tbl", "asset"], "ms", "price", "step_min")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

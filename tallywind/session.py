@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "tallywind", **conf: str) -> SparkSession:
@@ -47,3 +49,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def evaluated(df: DataFrame, keep: Sequence[str], columns: Sequence[str | Column]) -> DataFrame:
+    """df's `keep` columns and the computed ones, each evaluated once: filters above do not copy their expressions below."""
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
