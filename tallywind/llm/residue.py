@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .mail import own_text
-from .template import FILLER, GREETING, LIKELY, SEED, labels, sentences, take_apart
+from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, labels, sentences, take_apart
 
 _SCHEMA = "id long, pos int, key string, kinds string, what string, seeded boolean"
 
@@ -27,10 +27,12 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             cols: list[list] = [[], [], [], [], [], []]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = own_text(text)
-                parts = sentences(own.text)
-                if not any(not code for _, code, _ in parts) and own.notice:
-                    parts = sentences(own.notice)  # nothing else to see: the notice is the page
-                what = labels(parts)
+                text = own.text
+                parts = sentences(text)
+                if own.notice and all(code for _, code, _ in parts):
+                    text = own.notice  # nothing else to see: the notice is the page
+                    parts = sentences(text)
+                what = labels(parts) if parts and hinted(text) else [CODE if code else OTHER for _, code, _ in parts]
                 seeded = any(w in (SEED, FILLER) for w in what) or (LIKELY in what and set(what) <= {LIKELY, GREETING})
                 for k, ((s, code, _), w) in enumerate(zip(parts, what)):
                     key, kinds = ("", "") if code else take_apart(s)

@@ -24,6 +24,9 @@ _VARIABLE = re.compile(
     rf"|__{_NAME}__|@@{_NAME}@@|%%?[A-Za-z_]+%%?|\*\|{_NAME}\|\*|\$[A-Za-z_]{{2,}}\$|##?[A-Za-z_]{{2,}}##?(?!\w)|\b[Xx]{{3,}}\b"
 )
 _EMPTY = re.compile(r"\[object Object\]|\(null\)|<nil>|(?<![\w'’])(?:undefined|NaN|None|null|nil|NULL)(?![\w'’])|#N/D|#N/A|#REF!")
+_FIELD_MARKS = ("{", "[", "<", "#", "%", "@@", "*|", "__")  # every unfilled field holds one, or a dollar before a letter
+_DOLLAR = re.compile(r"\$[A-Za-z_{]")
+_EMPTY_MARKS = ("ull", "nil", "None", "NaN", "undefined", "[object", "#", "NULL")
 _TOKEN = re.compile(r"[\x01\x02\x03]|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d+|[A-Z]+_[A-Z]+|_+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
@@ -44,20 +47,31 @@ _LATIN = frozenset(
 )
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = re.compile(
-    r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)|(?:text|heading|content|title) (?:goes )?here|placeholder text|título (?:aquí|aqui)|überschrift|body copy|copy tbd|\btbd\b|\btodo\b|texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)|texto (?:provisório|de relleno|de exemplo)|platzhalter\w*|blindtext|hier (?:steht|kommt)|mustertext|inhalt (?:folgt|einfügen)",
+    r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)|(?:text|heading|content|title) (?:goes )?here|placeholder text|body copy|copy tbd|(?-i:\bTBD\b|\bTODO\b)|texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)|texto (?:provisório|de relleno|de exemplo)|título (?:aquí|aqui)|überschrift|platzhalter\w*|blindtext|hier (?:steht|kommt)|mustertext|inhalt (?:folgt|einfügen)",
     re.I,
 )
+#: Every phrase of _PLACE holds one of these, in lower case.
+_PLACE_PARTS = tuple(
+    "your text|your content|your copy|your message|your own|insert |add text|add your|add some|type your|type some|type text|enter text|enter your|put your|put some|sample text|sample content|sample copy|sample message|dummy |placeholder|text here|heading here|content here|title here|goes here|body copy|tbd|texto aqu|"
+    "seu texto|su texto|digite|insira|escriba aqu|título da seção|conteúdo provisório|conteúdo da mensagem|contenido provisional|contenido del mensaje|texto provisório|texto de relleno|texto de exemplo|título aqu|überschrift|platzhalter|blindtext|hier steht|"
+    "hier kommt|mustertext|inhalt folgt|inhalt einfügen".split("|")
+)
 
 # What error pages and demands for scripts say, in the four languages of the corpus
 _STATUS = re.compile(
     r"^(?:(?:http|error|erro|fehler|status|código|code)\W*)*[45]\d\d\b[\w\W]{0,40}$|^[\w '’-]{0,40}(?<!\d)\(?[45]\d\d\)?[.!]?$|^(?:error|erro|fehler)\W+[45]\d\d\b.{0,40}$", re.I
 )
-_PAGE = re.compile(
-    r"not found|couldn['’]t find|could not find|forbidden|unauthori[sz]ed|access denied|permission to (?:open|view|access)|bad (?:request|gateway)|server error|unavailable|isn['’]t available|timed? ?out|session (?:has )?(?:ended|expired|timed)|sign in again|log in again|too many requests|link has expired|service is down|went wrong|error code|can['’]t show|cannot (?:show|display)|unexpected (?:condition|error)|could not (?:be found|be shown|finish|complete|connect)|application error|checking your browser|browser settings|unusual traffic|not a robot|page (?:has )?(?:moved|expired)|connection refused|try again later|request id|(?:código|code): ?[0-9a-f]{4,}|upstream|unhandled exception|stack trace|traceback|"
-    r"não (?:foi )?encontr|acesso negado|não autorizad|indisponível|sessão (?:expir|encerr|termin)|erro (?:interno|inesperado)|tente (?:novamente|mais tarde)|foi removido|mudou de endereço|não tem permissão|(?:não )?conseguimos mostrar|não foi concluíd|concluir a sua solicitação|link expirou|deu errado|não foi possível|"
-    r"no (?:se )?(?:ha )?(?:encontr|pud)|no encontrad|acceso denegado|no autorizado|no (?:está )?disponible|sesión (?:ha )?(?:expir|caduc|termin)|inténtelo|error (?:interno|inesperado)|no tiene permiso|(?:no )?pudimos mostrar|no se complet|(?:enlace|vínculo) (?:ha )?(?:caduc|expir)|"
-    r"nicht gefunden|existiert nicht|zugriff verweigert|nicht (?:erreichbar|verfügbar)|sitzung (?:ist )?(?:abgelaufen|beendet)|serverfehler|später (?:noch einmal|erneut)|keine berechtigung|fehler aufgetreten|(?:nicht|kann nicht) angezeigt werden|link ist abgelaufen|anfrage (?:konnte|wurde) nicht",
-    re.I,
+_PAGE = tuple(
+    "not found|couldn't find|couldn’t find|could not find|forbidden|unauthorized|unauthorised|access denied|permission to open|permission to view|permission to access|bad request|bad gateway|server error|unavailable|isn't available|isn’t available|"
+    "timed out|timeout|time-out|time out|session has ended|session has expired|session ended|session expired|sign in again|log in again|too many requests|link has expired|service is down|went wrong|error code|can't show|can’t show|cannot show|cannot display|"
+    "unexpected condition|unexpected error|could not be found|could not be shown|could not finish|could not complete|could not connect|application error|checking your browser|browser settings|unusual traffic|not a robot|page has moved|page has expired|"
+    "connection refused|try again later|request id|code: |código: |upstream|unhandled exception|stack trace|traceback|"
+    "não encontr|não foi encontr|acesso negado|não autorizad|indisponível|sessão expir|sessão encerr|sessão termin|erro interno|erro inesperado|tente novamente|tente mais tarde|foi removido|mudou de endereço|não tem permissão|conseguimos mostrar|não foi concluíd|"
+    "concluir a sua solicitação|link expirou|deu errado|não foi possível|"
+    "no encontr|no se encontr|no se ha encontr|no se pud|acceso denegado|no autorizado|no disponible|no está disponible|sesión expir|sesión ha expir|sesión caduc|sesión ha caduc|sesión termin|inténtelo|error interno|error inesperado|no tiene permiso|pudimos mostrar|"
+    "no se complet|enlace caduc|enlace ha caduc|enlace expir|enlace ha expir|"
+    "nicht gefunden|existiert nicht|zugriff verweigert|nicht erreichbar|nicht verfügbar|sitzung ist abgelaufen|sitzung abgelaufen|serverfehler|später noch einmal|später erneut|keine berechtigung|fehler aufgetreten|nicht angezeigt werden|link ist abgelaufen|"
+    "anfrage konnte nicht|anfrage wurde nicht".split("|")
 )
 _SCRIPT = re.compile(r"java ?script|\bjs\b|\bscripts?\b|\bscripting\b|client-side|secuencias de comandos|skripte?\b|\bcookies\b", re.I)
 _DEMAND = re.compile(
@@ -88,7 +102,11 @@ def take_apart(sentence: str) -> tuple[str, str]:
     into the gaps, so that records of one template have one key, whatever a
     slot holds, and also when it is blank.
     """
-    tokens = _TOKEN.findall(_EMPTY.sub(" \x02 ", _VARIABLE.sub(" \x01 ", sentence)))
+    if any(m in sentence for m in _FIELD_MARKS) or _DOLLAR.search(sentence) or "xxx" in sentence.lower():
+        sentence = _VARIABLE.sub(" \x01 ", sentence)
+    if any(m in sentence for m in _EMPTY_MARKS):
+        sentence = _EMPTY.sub(" \x02 ", sentence)
+    tokens = _TOKEN.findall(sentence)
     words, kinds, gap = [], [], BLANK
     for i, t in enumerate(tokens):
         if t == "\x01":
@@ -113,10 +131,30 @@ def take_apart(sentence: str) -> tuple[str, str]:
     return " ".join(words), "".join(kinds)
 
 
+_WORD = re.compile(r"[^\W\d_]+")
+_ROW_SETS = tuple(map(frozenset, _ROWS))
+# parts of which a text has one if it holds any page line, demand for scripts or filler phrase; what repeats few letters is tested apart
+_HINTS = (*_PAGE, "script", " js ", "js ", "secuencias", "client-side", "skript", "cookie", *_PLACE_PARTS, "ipsum", "lorem", "kuram", "vesti", "nobis", "morbi", "lacus", "felis", "neque", "elit", "amet", "velit", "urna", "quasi", "dolor", "magna")
+
+
+def hinted(own: str) -> bool:
+    """Whether any sentence of the text can be filler or a page's line: a cheap test before the exact ones."""
+    low = own.lower()
+    if any(h in low for h in _HINTS) or "TODO" in own:
+        return True
+    for line in low.split("\n"):
+        if ("4" in line or "5" in line) and len(line) < 100 and _STATUS.match(line.strip()):
+            return True
+        if len(line) >= 12 and len(words := line.split()) >= 3 and (len(set(line)) <= 15 or len(set(words)) <= len(words) // 4):
+            return True
+    return False
+
+
 def is_filler(sentence: str) -> bool:
     """Lorem ipsum, keyboard mashing, one word over and over, or a phrase that only holds a text's place."""
-    words = re.findall(r"[^\W\d_]+", sentence.lower())
-    if _PLACE.search(sentence) and len(_PLACE.sub("", _VARIABLE.sub("", sentence)).split()) <= max(1, len(words) // 3):
+    low = sentence.lower()
+    words = _WORD.findall(low)
+    if (any(p in low for p in _PLACE_PARTS) or "TODO" in sentence) and _PLACE.search(sentence) and len(_PLACE.sub("", _VARIABLE.sub("", sentence)).split()) <= max(1, len(words) // 3):
         return True
     if not words:
         return len(sentence) >= 12 and len(set(sentence.split())) <= max(1, len(sentence.split()) // 4)
@@ -124,7 +162,7 @@ def is_filler(sentence: str) -> bool:
         return True
     if len(words) >= 4 and len(set(words)) <= max(1, len(words) // 4):
         return True
-    if len(words) >= 3 and sum(any(set(w) <= set(r) for r in _ROWS) for w in words) >= 0.9 * len(words) and len("".join(words)) >= 12:
+    if len(words) >= 3 and len(set("".join(words))) <= 14 and sum(any(r.issuperset(w) for r in _ROW_SETS) for w in words) >= 0.9 * len(words) and len("".join(words)) >= 12:
         return True
     return False
 
@@ -149,9 +187,9 @@ def _label(sentence: str, code: bool, whole_line: bool, first: bool, more: bool)
         return GREETING
     if "\x03" in sentence:
         return OTHER
-    words = len(sentence.split())
-    seed = _STATUS.match(sentence) is not None or (words <= 18 and _SCRIPT.search(sentence) and _DEMAND.search(sentence))
-    likely = words <= 22 and _PAGE.search(sentence) is not None
+    words, low = len(sentence.split()), sentence.lower()
+    seed = (len(sentence) < 100 and ("4" in low or "5" in low) and _STATUS.match(sentence) is not None) or (words <= 18 and _SCRIPT.search(sentence) and _DEMAND.search(sentence))
+    likely = words <= 22 and any(p in low for p in _PAGE)
     if code and not (likely or seed):
         return CODE
     if seed and whole_line and not code:
