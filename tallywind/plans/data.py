@@ -87,4 +87,50 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_trailing, p5_found, p5_rows, p6_found, p6_profile)}
-SQL: dict[str, str] = {}
+
+_CLOCK = r"([T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]*)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?"
+_DATES = "|".join(rf"[0-9]{{4}}{x}[0-9]{{2}}{x}[0-9]{{2}}|[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}[0-9]{{4}}" for x in "-/")
+
+
+def moment_sql(source: str, keep: str) -> str:
+    """SELECT of the keep columns and ms, the epoch milliseconds of "timestamp" (NULL where it is no moment)."""
+    offset = r"[+-][0-9]{2}:?[0-9]{2}$"
+    minutes = rf"(CAST(substr(regexp_extract(t, '{offset}'), 2, 2) AS BIGINT) * 60 + CAST(right(t, 2) AS BIGINT)) * CASE WHEN regexp_extract(t, '{offset}')[1] = '-' THEN -1 ELSE 1 END"
+    return rf"""SELECT {keep}, CASE WHEN good AND day IS NOT NULL THEN epoch_ms(CAST(day AS TIMESTAMP)) + CASE WHEN t = '' THEN 0 ELSE
+(CAST(substr(t, 1, 2) AS BIGINT) * 3600 + CAST(substr(t, 4, 2) AS BIGINT) * 60 + CAST(substr(t, 7, 2) AS BIGINT)) * 1000 + CAST(rpad(substr(regexp_extract(t, '\.([0-9]*)', 1), 1, 3), 3, '0') AS BIGINT)
+- CASE WHEN regexp_matches(t, '{offset}') THEN {minutes} ELSE 0 END * 60000 END END AS ms
+FROM (SELECT *, regexp_full_match("timestamp", '({_DATES}){_CLOCK}') AS good, regexp_extract("timestamp", '[T ](.*)$', 1) AS t,
+TRY_CAST(regexp_replace(regexp_replace(regexp_extract("timestamp", '^[0-9/-]+'), '^([0-9]+)[-/]([0-9]+)[-/]([0-9]{{4}})$', '\3-\2-\1'), '/', '-', 'g') AS DATE) AS day FROM {source})"""
+
+
+_F = r'(?:"[^"]*(?:""[^"]*)*"|[^",]*)'
+_ROW = f"^({_F}),({_F}),({_F}),({_F})$"
+_B = r"[ \t\n\x0b\f\r]*"
+_MISSING = "('', 'NA', 'null', 'N/A', 'NULL')"
+_VALUE = "CASE WHEN starts_with({0}, '\"') THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END"
+
+SQL: dict[str, str] = {
+    "p3_found": rf"""WITH r AS ({moment_sql("cotacoes", "'cotacoes' AS tbl, asset, price")} UNION ALL {moment_sql("cotacoes_shib_brl", "'cotacoes_shib_brl', 'SHIB_BRL', price")}),
+g AS (SELECT 'cotacoes' AS tbl, asset, grid_min AS w FROM ativos UNION ALL SELECT 'cotacoes_shib_brl', asset, feed_grid_min FROM ativos WHERE asset = 'SHIB_BRL'),
+s AS (SELECT DISTINCT tbl, asset, w, CAST(floor(ms / (w * 60000)) AS BIGINT) AS slot FROM r JOIN g USING (tbl, asset) WHERE ms IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)),
+n AS (SELECT *, lead(slot) OVER (PARTITION BY tbl, asset ORDER BY slot) AS nxt FROM s)
+SELECT tbl, asset, x * w * 60 AS slot_epoch FROM (SELECT tbl, asset, w, unnest(range(slot + 1, nxt)) AS x FROM n WHERE nxt > slot + 1)""",
+    "p4_found": rf"""WITH a AS (SELECT DISTINCT asset, CAST(floor(ms / 86400000) AS BIGINT) AS d FROM ({moment_sql("cotacoes", "asset, volume")}) WHERE ms IS NOT NULL AND volume > 0 AND asset IN (SELECT asset FROM ativos)),
+c AS (SELECT asset, unnest(range(lo, hi + 1)) AS d FROM (SELECT asset, min(d) AS lo, max(d) AS hi FROM a GROUP BY 1)),
+f AS (SELECT c.asset, c.d, count(a.d) OVER (PARTITION BY c.asset ORDER BY c.d ROWS 6 PRECEDING) AS n7, count(a.d) OVER (PARTITION BY c.asset ORDER BY c.d ROWS 29 PRECEDING) AS n30 FROM c LEFT JOIN a USING (asset, d))
+SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, CAST(7 AS BIGINT) AS span_days FROM f WHERE n7 = 0 UNION ALL SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d'), 30 FROM f WHERE n30 = 0""",
+    "p5_found": rf"""WITH l AS (SELECT line_id, regexp_replace(raw_line, '\r$', '') AS l FROM cotacoes_raw WHERE line_no <> 1 AND NOT regexp_full_match(raw_line, '[\r\n]*')),
+s AS (SELECT *, regexp_full_match(l, '{_F}(?:,{_F})*') AS quoted, regexp_full_match(l, '{_F}(?:,{_F}){{3}}') AS four, regexp_extract(l, '{_ROW}', ['a', 'b', 'c', 'd']) AS x FROM l),
+v AS (SELECT line_id, quoted, four, {_VALUE.format("x.a")} AS "timestamp", {_VALUE.format("x.c")} AS p, {_VALUE.format("x.d")} AS q FROM s),
+m AS ({moment_sql("v", 'line_id, quoted, four, "timestamp", p, q')}),
+k AS (SELECT line_id, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN NOT four THEN 'column_count' WHEN "timestamp" NOT IN {_MISSING} AND ms IS NULL THEN 'bad_timestamp'
+WHEN p NOT IN {_MISSING} AND NOT (regexp_full_match(p, '{_B}[+-]?(?i:nan|inf)') OR (regexp_full_match(p, '{_B}[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(abs(TRY_CAST(trim(p) AS DOUBLE)) < 'inf'::DOUBLE, FALSE))) THEN 'bad_price'
+WHEN q NOT IN {_MISSING} AND NOT (regexp_full_match(q, '{_B}[+-]?[0-9]+') AND TRY_CAST(trim(q) AS BIGINT) IS NOT NULL) THEN 'bad_volume' END AS reason FROM m) SELECT line_id, reason FROM k WHERE reason IS NOT NULL""",
+    "p6_found": """WITH q AS (SELECT *, coalesce(asset IN (SELECT asset FROM ativos), FALSE) AS k FROM cotacoes),
+s AS (SELECT load_id, avg(CAST(price IS NULL OR isnan(price) AS INTEGER)) AS pa, avg(CAST(volume IS NULL AS INTEGER)) AS va, avg(CAST(asset IS NULL AS INTEGER)) AS aa, count(*) FILTER (asset IS NOT NULL AND NOT k) / count(asset) AS u, count(DISTINCT asset) AS dn FROM q GROUP BY 1),
+m AS (SELECT asset, median(volume) AS mv FROM q WHERE k AND volume > 0 GROUP BY 1), r AS (SELECT load_id, median(volume / mv) AS r FROM q JOIN m USING (asset) WHERE k AND volume > 0 GROUP BY 1),
+t AS (SELECT median(pa) AS pa, median(va) AS va, median(aa) AS aa, median(u) AS u, median(dn) AS dn FROM s)
+SELECT load_id, 'price' AS column_name, 'absent' AS check_name FROM s, t WHERE s.pa - t.pa >= 0.1 - 1e-12 UNION ALL SELECT load_id, 'volume', 'absent' FROM s, t WHERE s.va - t.va >= 0.1 - 1e-12
+UNION ALL SELECT load_id, 'asset', 'absent' FROM s, t WHERE s.aa - t.aa >= 0.1 - 1e-12 UNION ALL SELECT load_id, 'asset', 'unknown' FROM s, t WHERE s.u - t.u >= 0.1 - 1e-12
+UNION ALL SELECT load_id, 'asset', 'distinct' FROM s, t WHERE s.dn < 0.6 * t.dn OR s.dn > 1.6 * t.dn UNION ALL SELECT load_id, 'volume', 'shift' FROM r WHERE r < 1 / 3.0 OR r > 3""",
+}
