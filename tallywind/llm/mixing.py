@@ -52,6 +52,7 @@ def mix(sized: DataFrame, targets: DataFrame, total: float | None = None, seed:
     caps as 1; of a source named twice, the shares add up and the smallest cap
     holds. Empty tables give empty results.
     """
+    sized = sized.select("id", "source", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
     settings = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("w"), F.min(F.coalesce("max_repeats", F.lit(1))).alias("m")).collect()
     share = {r.source: max(0.0, float(r.w)) for r in settings}
     repeats = {r.source: max(0, int(r.m)) for r in settings}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,11 +13,22 @@ from ..session import materialize
 from .mail import own_text
 from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, labels, sentences, take_apart
 
-_SCHEMA = "id long, pos int, key string, kinds string, what string, seeded boolean"
+_SCHEMA = "id long, key binary, variant binary, kinds string, what string, seeded boolean"
+_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.bool_())
+
+
+def _digest(text: str) -> bytes:
+    """96 bits that stand for a template's words: equal for different ones with a chance below 1e-8 even among 10**10 templates."""
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
+
+
+_NO_WORDS = _digest("")
 
 
 def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per sentence of each record's own text: id, pos, template key, slot kinds, what it is, whether the record has a seed line.
+    """One row per sentence of each record's own text: id, template key and variant (digests), slot kinds, what it is, whether the record has a seed line.
+
+    A variant is a template with the kinds of its slots. Code has neither.
 
     Null, empty and blank texts, and texts without own words, give no rows.
     Whole texts are read, whatever their length.
@@ -34,11 +46,14 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     parts = sentences(text)
                 what = labels(parts) if parts and hinted(text) else [CODE if code else OTHER for _, code, _ in parts]
                 seeded = any(w in (SEED, FILLER) for w in what) or (LIKELY in what and set(what) <= {LIKELY, GREETING})
-                for k, ((s, code, _), w) in enumerate(zip(parts, what)):
-                    key, kinds = ("", "") if code else take_apart(s)
-                    for c, v in zip(cols, (i, k, key, kinds, w, seeded)):
+                for (sentence, code, _), w in zip(parts, what):
+                    key = variant = kinds = None
+                    if not code:
+                        words, kinds = take_apart(sentence)
+                        key, variant = _digest(words), _digest(f"{words}\n{kinds}")
+                    for c, v in zip(cols, (i, key, variant, kinds, w, seeded)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()))], names=["id", "pos", "key", "kinds", "what", "seeded"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=["id", "key", "variant", "kinds", "what", "seeded"])
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, _SCHEMA)
 
@@ -64,19 +79,20 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the template key; nothing is collected. An empty table gives no rows.
     """
     parts = materialize(take_apart_texts(df, id_col, text_col), "sentences")
-    counted = parts.where(F.length("kinds") > 0).groupBy("key", "kinds").agg(F.count("*").alias("n"))
+    counted = parts.where(F.col("key").isNotNull()).groupBy("key", "variant").agg(F.first("kinds").alias("kinds"), F.count("*").alias("n"))
     counted = materialize(counted, "templates")
-    gaps = counted.select("key", "n", F.posexplode(F.split("kinds", "")).alias("slot", "kind")).where(F.col("kind") != "")
+    # only a template whose records differ has slots to judge by
+    several = counted.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1").select("key")
+    gaps = counted.join(several, "key").select("key", "variant", "n", F.posexplode(F.split("kinds", "")).alias("slot", "kind")).where(F.col("kind") != "")
     slots = gaps.groupBy("key", "slot").agg(F.sum("n").alias("all"), (F.sum(F.when(F.col("kind") == "P", F.col("n")).otherwise(0)) / F.sum("n")).alias("proper"))
-    variants = counted.where(F.col("kinds").rlike("[VNB]")).select("key", "kinds", F.posexplode(F.split("kinds", "")).alias("slot", "kind")).where(F.col("kind").isin("V", "N", "B"))
-    judged = variants.join(slots, ["key", "slot"])
+    judged = gaps.where(F.col("kind").isin("V", "N", "B")).join(slots, ["key", "slot"])
     left = (F.col("kind").isin("V", "N") & (F.col("proper") >= filled_share)) | ((F.col("kind") == "B") & (F.col("proper") >= blank_share) & (F.col("all") >= 10))
-    bad = judged.where(left).select("key", "kinds").distinct()
-    unfilled = parts.join(bad, ["key", "kinds"]).select("id").distinct().withColumn("reason", F.lit("unfilled"))
+    bad = judged.where(left).select("variant").distinct()
+    unfilled = parts.join(bad, "variant").select("id").distinct().withColumn("reason", F.lit("unfilled"))
 
     known = F.col("what").isin(GREETING, FILLER, SEED, LIKELY)
     induced = (
-        parts.where((F.col("what") == "O") & (F.col("key") != ""))
+        parts.where((F.col("what") == "O") & (F.col("key") != F.lit(_NO_WORDS)))
         .groupBy("key")
         .agg(F.countDistinct("id").alias("docs"), F.countDistinct(F.when(F.col("seeded"), F.col("id"))).alias("with_seed"))
         .where((F.col("docs") >= repeats) & (F.col("with_seed") >= page_share * F.col("docs")))

@@ -146,6 +146,8 @@ def sketch(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFra
     at the ends. No shuffle: pass the result to merge(). Empty tables give none.
     """
     keys, values = list(keys), list(values)
+    if {"field", "codes", "counts", "dense"} & set(keys):
+        raise ValueError("a key has the name of a column of the states")
     schema = _state_schema(df, keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

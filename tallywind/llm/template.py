@@ -37,6 +37,7 @@ _GREETING = re.compile(
     r"^(?:(?:hi|hello|dear|hey|good (?:morning|afternoon|evening)|olá|ola|oi|bom dia|boa (?:tarde|noite)|prezad[oa]s?(?:\(a\))?|car[oa]s?|hola|buenos días|buenas (?:tardes|noches)|estimad[oa]s?|hallo|guten (?:morgen|tag)|liebe[rs]?|sehr geehrte[rs]?)\b.{0,60}[,:!]?|[\w\x01\x02]+ -)$",
     re.I,
 )
+_BARE_GREETING = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+){0,2}[,:!.]?$")
 _SIGNATURE = re.compile(r"^(?:\+?\d[\d ()-]{6,}|ID [\d.\-/]+|IBAN .*|(?:Rua|Av\.|Calle) .*|\S+@\S+|(?:[A-ZÀ-Ý][\w'’-]*)(?: [A-ZÀ-Ý][\w'’-]*){0,2}|Gruß,?|LG,?)$")
 
 # The classic filler words, keyboard rows, and phrases that hold a text's place
@@ -127,6 +128,8 @@ def take_apart(sentence: str) -> tuple[str, str]:
                 gap = PROPER
         elif t[0].isalnum():
             gap = PROPER if gap == BLANK else gap
+    if gap == BLANK and words and words[0] in _GREET and _BARE_GREETING.match(sentence):
+        gap = PROPER  # a greeting of nobody by name is complete; one with a hole before its comma is not
     kinds.append(gap)
     return " ".join(words), "".join(kinds)
 
