@@ -33,13 +33,13 @@ def time_shards(
     series = list(series)
     bucket = F.floor(F.col(ms) / bucket_ms).cast("long")
     counted = df.select(*series, bucket.alias("b"), *[c.alias(f"__{k}") for k, c in present.items()])
-    counts = counted.groupBy(*series, "b").agg(F.count("*").alias("all"), *[F.count_if(F.col(f"__{k}")).alias(k) for k in present])
+    counts = counted.groupBy(*series, "b").agg(F.count("*").alias("__all"), *[F.count_if(F.col(f"__{k}")).alias(f"__n_{k}") for k in present])
     order = Window.partitionBy(*series).orderBy("b")
-    upto = counts.select(*series, "b", F.sum("all").over(order).alias("__end"), "all", *present, *[F.sum(k).over(order).alias(f"__end_{k}") for k in present])
-    upto = upto.withColumn("shard", F.floor((F.col("__end") - F.col("all")) / rows).cast("long"))
+    upto = counts.select(*series, "b", F.sum("__all").over(order).alias("__end"), "__all", *[f"__n_{k}" for k in present], *[F.sum(f"__n_{k}").over(order).alias(f"__end_{k}") for k in present])
+    upto = upto.withColumn("shard", F.floor((F.col("__end") - F.col("__all")) / rows).cast("long"))
     lo, hi = F.lit(_FAR).cast("long"), F.lit(-_FAR).cast("long")
     for k in present:
-        start = F.col(f"__end_{k}") - F.col(k)
+        start = F.col(f"__end_{k}") - F.col(f"__n_{k}")
         before = Window.partitionBy(*series).orderBy(start).rangeBetween(Window.unboundedPreceding, -halo)
         after = Window.partitionBy(*series).orderBy(F.col(f"__end_{k}")).rangeBetween(halo, Window.unboundedFollowing)
         lo = F.least(lo, F.coalesce(F.max("b").over(before), F.lit(-_FAR)))
