@@ -163,7 +163,7 @@ def is_filler(sentence: str) -> bool:
         return len(sentence) >= 12 and len(set(sentence.split())) <= max(1, len(sentence.split()) // 4)
     if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.6 * len(words):
         return True
-    if len(words) >= 4 and len(set(words)) <= max(1, len(words) // 4):
+    if len(words) >= 4 and len(set(parts := low.split())) <= max(1, len(parts) // 4):
         return True
     if len(words) >= 3 and len(set("".join(words))) <= 14 and sum(any(r.issuperset(w) for r in _ROW_SETS) for w in words) >= 0.9 * len(words) and len("".join(words)) >= 12:
         return True
