@@ -140,6 +140,11 @@ _ROW_SETS = tuple(map(frozenset, _ROWS))
 _HINTS = (*_PAGE, "script", " js ", "js ", "secuencias", "client-side", "skript", "cookie", *_PLACE_PARTS, "ipsum", "lorem", "kuram", "vesti", "nobis", "morbi", "lacus", "felis", "neque", "elit", "amet", "velit", "urna", "quasi", "dolor", "magna")
 
 
+def _repeats(parts: list[str]) -> bool:
+    """Up to three tokens, each four times or more on average."""
+    return len(set(parts)) <= min(3, len(parts) // 4)
+
+
 def hinted(own: str) -> bool:
     """Whether any sentence of the text can be filler or a page's line: a cheap test before the exact ones."""
     low = own.lower()
@@ -148,7 +153,7 @@ def hinted(own: str) -> bool:
     for line in low.split("\n"):
         if ("4" in line or "5" in line) and len(line) < 100 and _STATUS.match(line.strip()):
             return True
-        if len(line) >= 12 and len(words := line.split()) >= 3 and (len(set(line)) <= 15 or len(set(words)) <= len(words) // 4):
+        if len(line) >= 12 and len(words := line.split()) >= 3 and (len(set(line)) <= 15 or _repeats(words)):
             return True
     return False
 
@@ -160,10 +165,10 @@ def is_filler(sentence: str) -> bool:
     if (any(p in low for p in _PLACE_PARTS) or "TODO" in sentence) and _PLACE.search(sentence) and len(_PLACE.sub("", _VARIABLE.sub("", sentence)).split()) <= max(1, len(words) // 3):
         return True
     if not words:
-        return len(sentence) >= 12 and len(set(sentence.split())) <= max(1, len(sentence.split()) // 4)
+        return len(sentence) >= 12 and _repeats(sentence.split())
     if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.6 * len(words):
         return True
-    if len(words) >= 4 and len(set(parts := low.split())) <= max(1, len(parts) // 4):
+    if len(words) >= 4 and _repeats(low.split()):
         return True
     if len(words) >= 3 and len(set("".join(words))) <= 14 and sum(any(r.issuperset(w) for r in _ROW_SETS) for w in words) >= 0.9 * len(words) and len("".join(words)) >= 12:
         return True

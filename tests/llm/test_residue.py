@@ -77,7 +77,7 @@ def test_find_residue(spark):
         2003: None,
         2004: "",
         2005: "   ",
-        2006: mail(" ".join(f"w{i % 977}x" for i in range(100_000))),
+        2006: mail(" ".join(f"report{i % 977}" for i in range(100_000))),
     }
     data += [*cases.items(), *fine.items(), (1005, cases[1005])]
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("reason", F.lit(1))
