@@ -285,10 +285,12 @@ def rolling_suite(spark, d):
     return out.select("event_id", r(c("s"), 2).alias("s"), r(c("m")).alias("m"), "lo", "hi", "n", r(c("sd"), 3).alias("sd"), r(c("med"), 3).alias("med"))
 
 
-@query("SELECT event_id, round(sum(v) OVER w, 2) AS s, round(avg(v) OVER w, 7) AS m, count(v) OVER w AS n FROM (" + _GAPPY + ") WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT event_id, CAST(sum(k) OVER w AS BIGINT) AS s, CAST(sum(k) OVER w AS DOUBLE) / nullif(count(k) OVER w, 0) AS m, count(k) OVER w AS n, max(k) OVER w AS hi FROM (SELECT event_id, CAST(round(v * 100) AS BIGINT) AS k FROM (" + _GAPPY + ")) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def expanding_suite(spark, d):
-    out = ordered.running(numbered(gappy(spark, d), "event_id"), {"s": ordered.run_sum(c("v")), "n": ordered.run_sum(F.when(c("v").isNotNull(), 1).otherwise(0))})
-    return out.select("event_id", r(c("s"), 2).alias("s"), r(F.try_divide(c("s"), c("n")), 7).alias("m"), c("n").cast("long").alias("n"))
+    k = F.round(c("v") * 100).cast("long")
+    n = numbered(gappy(spark, d), "event_id").withColumn("k", k)
+    out = ordered.running(n, {"s": ordered.run_sum(c("k")), "n": ordered.run_sum(F.when(c("k").isNotNull(), 1).otherwise(0)), "hi": ordered.run_max(c("k"))})
+    return out.select("event_id", "s", F.try_divide(c("s").cast("double"), c("n").cast("double")).alias("m"), c("n").cast("long").alias("n"), "hi")
 
 
 @query("SELECT event_id, user_id, lag(v) OVER w AS prev, round(sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, last_value(v IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS f FROM (" + _GAPPY + ") WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")

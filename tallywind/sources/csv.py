@@ -62,7 +62,8 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     stands for the texts in na_values (default: empty, NA, null, N/A, NULL;
     giving a list replaces it). Without a header columns are col0, col1, ...
     An empty file is an error; a header alone gives no rows, all string. Types
-    are inferred over all rows. `multiline=False` lets Spark split large files
+    are inferred over all rows. Line ends are alike within a file (any kind);
+    text after a closing quote follows Spark's reader. `multiline=False` lets Spark split large files
     that have no line breaks inside fields.
     """
     if sep == decimal:
