@@ -14,6 +14,7 @@ _HEADER_END = re.compile(r"\r?\n[ \t]*\r?\n|\r[ \t]*\r(?!\n)")
 _FIELD = re.compile(r"^([A-Za-z][A-Za-z0-9-]*)[ \t]*:[ \t]*(.*(?:\r?\n[ \t]+.*)*)", re.M)
 _BOUNDARY = re.compile(r"boundary[ \t]*=[ \t]*(?:\"([^\"]+)\"|([^\s;]+))", re.I)
 _CHARSET = re.compile(r"charset[ \t]*=[ \t]*\"?([\w.:-]+)", re.I)
+_BASE64 = re.compile(rb"[A-Za-z0-9+/\s]*")  # what follows the padding is no content
 _MOJIBAKE = re.compile("[ÂÃ][\u0080-¿‘-›€Œ-Ÿ]|â[\u0080€]")
 _DEPTH = 8  # of nested parts
 
@@ -51,7 +52,7 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
     if encoding in ("quoted-printable", "base64"):
         raw = body.encode("utf-8", "surrogateescape")
         try:
-            raw = binascii.a2b_qp(raw) if encoding[0] == "q" else binascii.a2b_base64(re.sub(rb"[^A-Za-z0-9+/]", b"", raw) + b"===")
+            raw = binascii.a2b_qp(raw) if encoding[0] == "q" else binascii.a2b_base64(re.sub(rb"\s", b"", _BASE64.match(raw)[0]) + b"===")
         except (binascii.Error, ValueError):
             return body
         for name in (charset or "utf-8", "utf-8", "cp1252"):

@@ -13,18 +13,18 @@ PROPER, VARIABLE, EMPTY, BLANK = "PVNB"
 #: that stands alone (S) or may belong to one (L), code or quotation (C), anything else (O).
 GREETING, FILLER, SEED, LIKELY, CODE, OTHER = "GFSLCO"
 
-_QUOTATION = re.compile(r"`[^`\n]*`|\"[^\"\n]{2,400}\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]")
-_SHORT = 60  # characters of a line that is taken as one sentence
+_QUOTATION = re.compile(r"`[^`\n]*`|\"[^\"\n]{2,400}\"|“[^”\n]*”|«[^»\n]*[ ,.!?][^»\n]*»|„[^“”\n]*[“”]")
 _CODE_LINE = re.compile(r"^(?: {4,}|\t)")
 
 # unfilled fields: a name between marks, whatever the template language
 _NAME = r"[A-Za-zÀ-ÿ_][\w .\-]{0,40}?"
 _VARIABLE = re.compile(
     rf"\{{{{1,3}}[!%]? ?(?:{_NAME}|\d{{1,2}}) ?%?\}}{{1,3}}|[$#]\{{ ?{_NAME} ?\}}|<<? ?{_NAME} ?>>?|<%=? ?{_NAME} ?%>|\[\[? ?{_NAME} ?\]\]?"
+    rf"|~~?{_NAME}~~?|\(\( ?{_NAME} ?\)\)|« ?[A-Za-zÀ-ÿ_][\w.\-]{{0,40}} ?»|(?<![\d%])%(?:\([\w. ]{{1,40}}\))?[sdif](?![A-Za-z])|\^{_NAME}\^|\+\+{_NAME}\+\+|::{_NAME}::|\|\|?{_NAME}\|\|?(?! ?\w)"
     rf"|__{_NAME}__|@@{_NAME}@@|%%?[A-Za-z_]+%%?|\*\|{_NAME}\|\*|\$[A-Za-z_]{{2,}}\$|##?[A-Za-z_]{{2,}}##?(?!\w)|\b[Xx]{{3,}}\b"
 )
 _EMPTY = re.compile(r"\[object Object\]|\(null\)|<nil>|(?<![\w'’])(?:undefined|NaN|None|null|nil|NULL)(?![\w'’])|#N/D|#N/A|#REF!")
-_FIELD_MARKS = ("{", "[", "<", "#", "%", "@@", "*|", "__")  # every unfilled field holds one, or a dollar before a letter
+_FIELD_MARKS = ("{", "[", "<", "#", "%", "@@", "|", "__", "~", "((", "«", "^", "++", "::")  # every unfilled field holds one, or a dollar before a letter
 _DOLLAR = re.compile(r"\$[A-Za-z_{]")
 _EMPTY_MARKS = ("ull", "nil", "None", "NaN", "undefined", "[object", "#", "NULL")
 _TOKEN = re.compile(r"[\x01\x02\x03]|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d+|[A-Z]+_[A-Z]+|_+|[^\w\s]")
@@ -48,7 +48,7 @@ _LATIN = frozenset(
 )
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _PLACE = re.compile(
-    r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)|(?:text|heading|content|title) (?:goes )?here|placeholder text|body copy|copy tbd|(?-i:\bTBD\b|\bTODO\b)|texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)|texto (?:provisório|de relleno|de exemplo)|título (?:aquí|aqui)|überschrift|platzhalter\w*|blindtext|hier (?:steht|kommt)|mustertext|inhalt (?:folgt|einfügen)",
+    r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)\b|(?:text|heading|content|title) (?:goes )?here|placeholder text|,? ?replace before sending|body copy|copy tbd|(?-i:\bTBD\b|\bTODO\b)|texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)|texto (?:provisório|de relleno|de exemplo)|título (?:aquí|aqui)|überschrift|platzhalter\w*|blindtext|hier (?:steht|kommt)|mustertext|inhalt (?:folgt|einfügen)",
     re.I,
 )
 #: Every phrase of _PLACE holds one of these, in lower case.
@@ -66,20 +66,20 @@ _PAGE = tuple(
     "not found|couldn't find|couldn’t find|could not find|forbidden|unauthorized|unauthorised|access denied|permission to open|permission to view|permission to access|bad request|bad gateway|server error|unavailable|isn't available|isn’t available|"
     "timed out|timeout|time-out|time out|session has ended|session has expired|session ended|session expired|sign in again|log in again|too many requests|link has expired|service is down|went wrong|error code|can't show|can’t show|cannot show|cannot display|"
     "unexpected condition|unexpected error|could not be found|could not be shown|could not finish|could not complete|could not connect|application error|checking your browser|browser settings|unusual traffic|not a robot|page has moved|page has expired|"
-    "connection refused|try again later|request id|code: |código: |upstream|unhandled exception|stack trace|traceback|"
+    "connection refused|try again later|try again in a few|contact the administrator|not completed|scripts are switched off|enable them|turn them on|request id|code: |código: |upstream|unhandled exception|stack trace|traceback|"
     "não encontr|não foi encontr|acesso negado|não autorizad|indisponível|sessão expir|sessão encerr|sessão termin|erro interno|erro inesperado|tente novamente|tente mais tarde|foi removido|mudou de endereço|não tem permissão|conseguimos mostrar|não foi concluíd|"
-    "concluir a sua solicitação|link expirou|deu errado|não foi possível|"
+    "fora do ar|contate o administrador|concluir a sua solicitação|link expirou|deu errado|não foi possível|"
     "no encontr|no se encontr|no se ha encontr|no se pud|acceso denegado|no autorizado|no disponible|no está disponible|sesión expir|sesión ha expir|sesión caduc|sesión ha caduc|sesión termin|inténtelo|error interno|error inesperado|no tiene permiso|pudimos mostrar|"
-    "no se complet|enlace caduc|enlace ha caduc|enlace expir|enlace ha expir|"
+    "fuera de servicio|fuera de línea|contacte al administrador|no se complet|enlace caduc|enlace ha caduc|enlace expir|enlace ha expir|"
     "nicht gefunden|existiert nicht|zugriff verweigert|nicht erreichbar|nicht verfügbar|sitzung ist abgelaufen|sitzung abgelaufen|serverfehler|später noch einmal|später erneut|keine berechtigung|fehler aufgetreten|nicht angezeigt werden|link ist abgelaufen|"
-    "anfrage konnte nicht|anfrage wurde nicht".split("|")
+    "außer betrieb|wenden sie sich an den administrator|versuchen sie es|anfrage konnte nicht|anfrage wurde nicht".split("|")
 )
 _SCRIPT = re.compile(r"java ?script|\bjs\b|\bscripts?\b|\bscripting\b|client-side|secuencias de comandos|skripte?\b|\bcookies\b", re.I)
 _DEMAND = re.compile(
     r"enable|activate|allow|turn (?:it |them )?on|switch on|needs?\b|require|disabled|does(?:n['’]t| not) support|must be|ative|ativar|habilit|permit|ligue|precisa|necess|desativad|não executa|não suporta|active|activar|encienda|necesari|desactivad|no admite|no ejecuta|aktivier|einschalt|erlaub|zulassen|benötig|deaktiviert|unterstützt",
     re.I,
 )
-_CHROME = re.compile(r"^(?:reload|refresh|home|back|go back|privacy(?: \| \w+)*|terms|contact|retry|voltar|recarregar|início|volver|zurück|neu laden|at [\w.$]+\(.*\)|file \S+, line \d+.*|\w+error: .*|loading\W*.*|[\w ]{1,20}(?: [|·] [\w ]{1,20})+)$", re.I)
+_CHROME = re.compile(r"^(?:(?:oo?ps|ops|oh no|whoops|sorry|desculpe|lamentamos|lo sentimos|entschuldigung|hoppla|ups)[!.,:]?|(?:please |por favor,? |bitte )?(?:wait|aguarde|espere|warten sie) \d+ (?:seconds?|segundos?|sekunden)\.?|reload|refresh|home|back|go back|privacy(?: \| \w+)*|terms|contact|retry|voltar|recarregar|início|volver|zurück|neu laden|at [\w.$]+\(.*\)|file \S+, line \d+.*|\w+error: .*|loading\W*.*|[\w ]{1,20}(?: [|·] [\w ]{1,20})+)$", re.I)
 
 
 def sentences(own: str) -> list[tuple[str, bool, bool]]:
@@ -90,7 +90,7 @@ def sentences(own: str) -> list[tuple[str, bool, bool]]:
             continue
         code = bool(_CODE_LINE.match(line))
         line = _QUOTATION.sub("\x03", line.strip()).replace("#REF!", "\x02")
-        parts = [line] if len(line) <= _SHORT else [s.strip() for s in _SENTENCE.split(line) if s.strip()]
+        parts = [s.strip() for s in _SENTENCE.split(line) if s.strip()]
         out += [(s, code, len(parts) == 1) for s in parts]
     return out
 
