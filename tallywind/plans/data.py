@@ -65,13 +65,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_trailing(spark, d).where(F.col("active_rows") == 0).select("asset", "day", "span_days")
 
 
+def p4_volume(spark: SparkSession, d: str) -> DataFrame:
+    return p4_trailing(spark, d).select("asset", "day", "span_days", "active_rows", "active_days", "volume_total")
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "cotacoes_raw").where(F.col("line_no") != 1)
     return parse_rows(lines, "raw_line", QUOTE_FIELDS, ["line_id"])
 
 
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:
-    return p5_records(spark, d).where(F.col("reason").isNull()).drop("reason")
+    good = p5_records(spark, d).where(F.col("reason").isNull())
+    return good.select("line_id", F.unix_millis("timestamp").alias("ms"), "asset", "price", "volume")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +91,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return differing_loads(materialize(p6_profile(spark, d), "profile"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_trailing, p5_found, p5_rows, p6_found, p6_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_trailing, p4_volume, p5_found, p5_rows, p6_found, p6_profile)}
 
 _CLOCK = r"([T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]*)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?"
 _DATES = "|".join(rf"[0-9]{{4}}{x}[0-9]{{2}}{x}[0-9]{{2}}|[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}[0-9]{{4}}" for x in "-/")
@@ -109,6 +114,14 @@ _B = r"[ \t\n\x0b\f\r]*"
 _MISSING = "('', 'NA', 'null', 'N/A', 'NULL')"
 _VALUE = "CASE WHEN starts_with({0}, '\"') THEN replace({0}[2:-2], '\"\"', '\"') ELSE {0} END"
 
+_RECORDS = rf"""WITH l AS (SELECT line_id, regexp_replace(raw_line, '\r$', '') AS l FROM cotacoes_raw WHERE line_no <> 1 AND NOT regexp_full_match(raw_line, '[\r\n]*')),
+s AS (SELECT *, regexp_full_match(l, '{_F}(?:,{_F})*') AS quoted, regexp_full_match(l, '{_F}(?:,{_F}){{3}}') AS four, regexp_extract(l, '{_ROW}', ['a', 'b', 'c', 'd']) AS x FROM l),
+v AS (SELECT line_id, quoted, four, {_VALUE.format("x.a")} AS "timestamp", {_VALUE.format("x.b")} AS a, {_VALUE.format("x.c")} AS p, {_VALUE.format("x.d")} AS q FROM s),
+m AS ({moment_sql("v", 'line_id, quoted, four, "timestamp", a, p, q')}),
+k AS (SELECT line_id, "timestamp", ms, a, p, q, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN NOT four THEN 'column_count' WHEN "timestamp" NOT IN {_MISSING} AND ms IS NULL THEN 'bad_timestamp'
+WHEN p NOT IN {_MISSING} AND NOT (regexp_full_match(p, '{_B}[+-]?(?i:nan|inf)') OR (regexp_full_match(p, '{_B}[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(abs(TRY_CAST(trim(p) AS DOUBLE)) < 'inf'::DOUBLE, FALSE))) THEN 'bad_price'
+WHEN q NOT IN {_MISSING} AND NOT (regexp_full_match(q, '{_B}[+-]?[0-9]+') AND TRY_CAST(trim(q) AS BIGINT) IS NOT NULL) THEN 'bad_volume' END AS reason FROM m)"""
+
 SQL: dict[str, str] = {
     "p3_found": rf"""WITH r AS ({moment_sql("cotacoes", "'cotacoes' AS tbl, asset, price")} UNION ALL {moment_sql("cotacoes_shib_brl", "'cotacoes_shib_brl', 'SHIB_BRL', price")}),
 g AS (SELECT 'cotacoes' AS tbl, asset, grid_min AS w FROM ativos UNION ALL SELECT 'cotacoes_shib_brl', asset, feed_grid_min FROM ativos WHERE asset = 'SHIB_BRL'),
@@ -119,13 +132,12 @@ SELECT tbl, asset, x * w * 60 AS slot_epoch FROM (SELECT tbl, asset, w, unnest(r
 c AS (SELECT asset, unnest(range(lo, hi + 1)) AS d FROM (SELECT asset, min(d) AS lo, max(d) AS hi FROM a GROUP BY 1)),
 f AS (SELECT c.asset, c.d, count(a.d) OVER (PARTITION BY c.asset ORDER BY c.d ROWS 6 PRECEDING) AS n7, count(a.d) OVER (PARTITION BY c.asset ORDER BY c.d ROWS 29 PRECEDING) AS n30 FROM c LEFT JOIN a USING (asset, d))
 SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, CAST(7 AS BIGINT) AS span_days FROM f WHERE n7 = 0 UNION ALL SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d'), 30 FROM f WHERE n30 = 0""",
-    "p5_found": rf"""WITH l AS (SELECT line_id, regexp_replace(raw_line, '\r$', '') AS l FROM cotacoes_raw WHERE line_no <> 1 AND NOT regexp_full_match(raw_line, '[\r\n]*')),
-s AS (SELECT *, regexp_full_match(l, '{_F}(?:,{_F})*') AS quoted, regexp_full_match(l, '{_F}(?:,{_F}){{3}}') AS four, regexp_extract(l, '{_ROW}', ['a', 'b', 'c', 'd']) AS x FROM l),
-v AS (SELECT line_id, quoted, four, {_VALUE.format("x.a")} AS "timestamp", {_VALUE.format("x.c")} AS p, {_VALUE.format("x.d")} AS q FROM s),
-m AS ({moment_sql("v", 'line_id, quoted, four, "timestamp", p, q')}),
-k AS (SELECT line_id, CASE WHEN NOT quoted THEN 'bad_quoting' WHEN NOT four THEN 'column_count' WHEN "timestamp" NOT IN {_MISSING} AND ms IS NULL THEN 'bad_timestamp'
-WHEN p NOT IN {_MISSING} AND NOT (regexp_full_match(p, '{_B}[+-]?(?i:nan|inf)') OR (regexp_full_match(p, '{_B}[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(abs(TRY_CAST(trim(p) AS DOUBLE)) < 'inf'::DOUBLE, FALSE))) THEN 'bad_price'
-WHEN q NOT IN {_MISSING} AND NOT (regexp_full_match(q, '{_B}[+-]?[0-9]+') AND TRY_CAST(trim(q) AS BIGINT) IS NOT NULL) THEN 'bad_volume' END AS reason FROM m) SELECT line_id, reason FROM k WHERE reason IS NOT NULL""",
+    "p4_volume": rf"""WITH r AS (SELECT asset, CAST(floor(ms / 86400000) AS BIGINT) AS d, volume FROM ({moment_sql("cotacoes", "asset, volume")}) WHERE ms IS NOT NULL AND asset IN (SELECT asset FROM ativos)),
+a AS (SELECT asset, d, count(*) FILTER (volume > 0) AS n, CAST(sum(volume) AS BIGINT) AS v FROM r GROUP BY ALL),
+c AS (SELECT asset, unnest(range(lo, hi + 1)) AS d FROM (SELECT asset, min(d) AS lo, max(d) AS hi FROM a WHERE n > 0 GROUP BY 1)), x AS (SELECT asset, d, n, v FROM c LEFT JOIN a USING (asset, d))
+{" UNION ALL ".join(f"SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, CAST({k} AS BIGINT) AS span_days, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS active_rows, count(*) FILTER (n > 0) OVER w AS active_days, CAST(coalesce(sum(v) OVER w, 0) AS BIGINT) AS volume_total FROM x WINDOW w AS (PARTITION BY asset ORDER BY d ROWS {k - 1} PRECEDING)" for k in (7, 30))}""",
+    "p5_found": _RECORDS + " SELECT line_id, reason FROM k WHERE reason IS NOT NULL",
+    "p5_rows": _RECORDS + f" SELECT line_id, CASE WHEN \"timestamp\" NOT IN {_MISSING} THEN ms END AS ms, CASE WHEN a NOT IN {_MISSING} THEN a END AS asset, CASE WHEN p NOT IN {_MISSING} THEN CAST(trim(p) AS DOUBLE) END AS price, CASE WHEN q NOT IN {_MISSING} THEN CAST(trim(q) AS BIGINT) END AS volume FROM k WHERE reason IS NULL",
     "p6_found": """WITH q AS (SELECT *, coalesce(asset IN (SELECT asset FROM ativos), FALSE) AS k FROM cotacoes),
 s AS (SELECT load_id, avg(CAST(price IS NULL OR isnan(price) AS INTEGER)) AS pa, avg(CAST(volume IS NULL AS INTEGER)) AS va, avg(CAST(asset IS NULL AS INTEGER)) AS aa, count(*) FILTER (asset IS NOT NULL AND NOT k) / count(asset) AS u, count(DISTINCT asset) AS dn FROM q GROUP BY 1),
 m AS (SELECT asset, median(volume) AS mv FROM q WHERE k AND volume > 0 GROUP BY 1), r AS (SELECT load_id, median(volume / mv) AS r FROM q JOIN m USING (asset) WHERE k AND volume > 0 GROUP BY 1),
