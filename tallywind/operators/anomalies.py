@@ -99,35 +99,38 @@ def flag_implausible(
     halo, so that a hot source is spread over tasks without changing a result.
     """
     rows = readings.where(F.col("source").isNotNull() & F.col("quote_id").isNotNull() & F.col("ms").isNotNull())
-    stored = materialize(rows.select("source", F.col("quote_id").cast("long"), F.col("ms").cast("long"), F.col("price").cast("double"), F.col("volume").cast("long")), "readings")
+    kept = materialize(rows.select("source", F.col("quote_id").cast("long"), F.col("ms").cast("long"), F.col("price").cast("double"), F.col("volume").cast("long")), "readings")
+    # sources by number: shuffles and sorts carry and compare 8 bytes instead of a text; the window has one row per source
+    names = materialize(kept.select("source").distinct().select("source", F.row_number().over(Window.orderBy("source")).cast("long").alias("sid")), "sources")
+    stored = kept.join(names, "source").drop("source")
     present = {"p": F.col("price").isNotNull() & ~F.isnan("price"), "v": F.col("volume").isNotNull()}
-    shards = time_shards(stored, ["source"], "ms", present, rows=shard_rows, halo=HALO)
+    shards = time_shards(stored, ["sid"], "ms", present, rows=shard_rows, halo=HALO)
 
     # steps between successive valid prices, rows sent again (equal to one of the last three) passed over
     valid = (F.col("price") > 0) & (F.col("price") < float("inf"))  # NaN counts as larger than all
-    line = Window.partitionBy("source", "shard").orderBy("ms", "quote_id")
+    line = Window.partitionBy("sid", "shard").orderBy("ms", "quote_id")
     again = F.lit(False)
     for k in (1, 2, 3):
         again = again | F.coalesce((F.lag("ms", k).over(line) == F.col("ms")) & (F.lag("price", k).over(line) == F.col("price")), F.lit(False))
-    prices = shards.where(valid).select("source", "shard", "core", "ms", "quote_id", "price", again.alias("again")).where(~F.col("again"))
+    prices = shards.where(valid).select("sid", "shard", "core", "ms", "quote_id", "price", again.alias("again")).where(~F.col("again"))
     log = F.ln(F.col("price"))
-    steps = prices.select("source", "core", "price", F.lag("price").over(line).alias("last"), (log - F.lag(log).over(line)).alias("r"), F.lag(log).over(line).alias("log1"), F.lag(log, 2).over(line).alias("log2"))
+    steps = prices.select("sid", "core", "price", F.lag("price").over(line).alias("last"), (log - F.lag(log).over(line)).alias("r"), F.lag(log).over(line).alias("log1"), F.lag(log, 2).over(line).alias("log2"))
     steps = materialize(
-        steps.where(F.col("core") & F.col("last").isNotNull()).select("source", F.abs(F.col("price") / F.col("last") - 1).alias("step"), "r", (F.col("log1") - F.col("log2")).alias("r1")),
+        steps.where(F.col("core") & F.col("last").isNotNull()).select("sid", F.abs(F.col("price") / F.col("last") - 1).alias("step"), "r", (F.col("log1") - F.col("log2")).alias("r1")),
         "steps",
     )
-    scale = group_quantiles(steps, ["source"], "step").select("source", F.col("quantile").alias("scale"))
-    usual = group_quantiles(stored.where(F.col("volume") > 0), ["source"], "volume").select("source", F.col("quantile").alias("usual"))
+    scale = group_quantiles(steps, ["sid"], "step").select("sid", F.col("quantile").alias("scale"))
+    usual = group_quantiles(stored.where(F.col("volume") > 0), ["sid"], "volume").select("sid", F.col("quantile").alias("usual"))
     scale, usual = materialize(scale, "scale"), materialize(usual, "usual")
     # Huber-clipped least squares of a step on the one before
     clip = lambda c: F.when(F.col(c) > F.col("w"), F.col("w")).when(F.col(c) < -F.col("w"), -F.col("w")).otherwise(F.col(c))
-    clipped = steps.join(scale.withColumn("w", 5 * F.col("scale")), "source").where(F.col("r1").isNotNull()).select("source", clip("r").alias("y"), clip("r1").alias("x"))
-    phi = clipped.groupBy("source").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("phi"))
-    facts = materialize(scale.join(phi, "source", "left").join(usual, "source", "full"), "facts")
+    clipped = steps.join(scale.withColumn("w", 5 * F.col("scale")), "sid").where(F.col("r1").isNotNull()).select("sid", clip("r").alias("y"), clip("r1").alias("x"))
+    phi = clipped.groupBy("sid").agg(F.try_divide(F.sum(F.col("x") * F.col("y")), F.sum(F.col("x") * F.col("x"))).alias("phi"))
+    facts = materialize(scale.join(phi, "sid", "left").join(usual, "sid", "full"), "facts")
 
     def judge(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["ms", "quote_id"], kind="stable")
-        source, scale, usual = batch["source"].iloc[0], batch["scale"].iloc[0], batch["usual"].iloc[0]
+        sid, scale, usual = batch["sid"].iloc[0], batch["scale"].iloc[0], batch["usual"].iloc[0]
         phi = batch["phi"].iloc[0]
         phi = float(np.clip(phi, -0.5, 0.5)) if phi == phi else 0.0
         core, ids, ms = batch["core"].to_numpy(bool), batch["quote_id"].to_numpy(), batch["ms"].to_numpy()
@@ -137,7 +140,7 @@ def flag_implausible(
             hit = (impossible | spike | still) & core[at]
             if hit.any():
                 words = [",".join(n for n, m in (("impossible", a), ("spike", b), ("stuck", c)) if m) for a, b, c in zip(impossible[hit], spike[hit], still[hit])]
-                out.append(pd.DataFrame({"source": source, "quote_id": ids[at][hit], "field": field, "reasons": words}))
+                out.append(pd.DataFrame({"sid": sid, "quote_id": ids[at][hit], "field": field, "reasons": words}))
 
         p = batch["price"].to_numpy(float)
         at = np.flatnonzero(~np.isnan(p))
@@ -157,11 +160,9 @@ def flag_implausible(
         v = batch["volume"].to_numpy()[at]
         high = v > volume_times * usual if usual == usual else np.zeros(len(v), bool)
         emit("volume", at, v < 0, high, stuck_runs(v, stuck) & (v != 0))
-        found = pd.concat(out) if out else pd.DataFrame({"source": [], "quote_id": [], "field": [], "reasons": []})
-        return found.astype({"source": object, "field": object, "reasons": object})
+        found = pd.concat(out) if out else pd.DataFrame({"sid": [], "quote_id": [], "field": [], "reasons": []})
+        return found.astype({"field": object, "reasons": object})
 
-    kind = dict(rows.dtypes)["source"]
     whole = shards.withColumn("has_volume", F.col("volume").isNotNull()).withColumn("volume", F.coalesce("volume", F.lit(0).cast("long")))  # stays 64-bit in pandas
-    cases = whole.join(facts, "source", "left").groupBy("source", "shard").applyInPandas(judge, f"source {kind}, quote_id long, field string, reasons string")
-    return cases
-
+    cases = whole.join(facts, "sid", "left").groupBy("sid", "shard").applyInPandas(judge, "sid long, quote_id long, field string, reasons string")
+    return cases.join(names, "sid").select("source", "quote_id", "field", "reasons")
