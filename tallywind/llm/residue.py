@@ -91,8 +91,10 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unfilled = parts.join(bad, "variant").select("id").distinct().withColumn("reason", F.lit("unfilled"))
 
     known = F.col("what").isin(GREETING, FILLER, SEED, LIKELY)
+    other = parts.where((F.col("what") == "O") & (F.col("key") != F.lit(_NO_WORDS)))
+    beside = other.where("seeded").select("key").distinct()  # only templates that occur beside a known line can be induced
     induced = (
-        parts.where((F.col("what") == "O") & (F.col("key") != F.lit(_NO_WORDS)))
+        other.join(beside, "key", "left_semi")
         .groupBy("key")
         .agg(F.countDistinct("id").alias("docs"), F.countDistinct(F.when(F.col("seeded"), F.col("id"))).alias("with_seed"))
         .where((F.col("docs") >= repeats) & (F.col("with_seed") >= page_share * F.col("docs")))
