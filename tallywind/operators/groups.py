@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,10 +127,14 @@ class Groups:
                     out.append(aggregate(f, F.col(c), self.kinds[c], self.order).cast("double").alias(f"{c}_{f}"))
         return self.df.groupBy(*self.keys).agg(*out)
 
-    def apply(self, column: str, function, returns: str = "double") -> DataFrame:
-        """A Python aggregate (pandas Series to scalar) per group, named as the column; Arrow batches, one group at a time."""
-        udf = F.pandas_udf(function, returns, F.PandasUDFType.GROUPED_AGG)
-        return self.df.groupBy(*self.keys).agg(udf(F.col(column)).alias(column))
+    def apply(self, column: str, function: Callable[[pd.Series], Any], returns: str = "double") -> DataFrame:
+        """A Python aggregate (pandas Series to scalar) per group, named as the column; Arrow batches, one group at a time in memory."""
+
+        def one(values: pd.Series) -> float:
+            return function(values)
+
+        one.__annotations__ = {"values": pd.Series, "return": float}
+        return self.df.groupBy(*self.keys).agg(F.pandas_udf(one, returns)(F.col(column)).alias(column))
 
     def transform(self, name: str, column: str, out: str | None = None) -> DataFrame:
         """Every row with its group's aggregate of the column, a double."""

@@ -121,8 +121,8 @@ def dot(x: Column, y: Column) -> Column:
 
 def mad(df: DataFrame, column: str) -> DataFrame:
     """One row: the median absolute deviation from the median (`mad`)."""
-    middle = df.agg(F.percentile(column, F.lit(0.5)).alias("__m"))  # one row
-    return df.join(F.broadcast(middle), F.lit(True)).agg(F.percentile(F.abs(F.col(column) - F.col("__m")), F.lit(0.5)).alias("mad"))
+    middle = df.agg(F.percentile(column, F.lit(0.5))).first()[0]  # one number
+    return df.agg(F.percentile(F.abs(F.col(column) - F.lit(middle).cast("double")), F.lit(0.5)).alias("mad"))
 
 
 def mode(df: DataFrame, column: str, order: str) -> DataFrame:

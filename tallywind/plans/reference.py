@@ -377,7 +377,7 @@ def describe_numeric(spark, d):
         F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), r(stats.total(v), 2).alias("total"), r(stats.mean(v), 6).alias("mean"), r(stats.std(v), 6).alias("std"), r(stats.minimum(v)).alias("lo"), r(stats.quantile(v, 0.25)).alias("q25"), r(stats.median(v)).alias("q50"),
         r(stats.quantile(v, 0.75)).alias("q75"), r(stats.maximum(v)).alias("hi"), r(stats.skew(v), 6).alias("skew"), r(stats.kurtosis(v), 6).alias("kurt"), r(stats.sem(v), 8).alias("sem"),
     )
-    return one.join(stats.mad(g, "v").select(r(c("mad")).alias("mad")), F.lit(True))
+    return one.withColumn("mad", r(F.lit(stats.mad(g, "v").first()[0])))
 
 
 def _matrix_sql(f: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import warnings
 from collections.abc import Sequence
 
@@ -12,7 +14,6 @@ from pyspark.sql import types as T
 from ..functions import casts
 from ..functions.dates import iso
 from ..operators.rowparse import MISSING
-from ..session import materialize
 from ..types import dtype_of
 
 _TRUE, _FALSE = ("true", "True", "TRUE"), ("false", "False", "FALSE")  # Fixed values
@@ -76,33 +77,36 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     names = [str(v if v is not None else "") for v in head.first()] if header else [f"col{i}" for i in range(width)]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
+    return _finished(raw, names, sep, decimal, na_values)
+
+
+def _finished(raw: DataFrame, names: Sequence[str], sep: str, decimal: str, na_values: Sequence[str] | None) -> DataFrame:
+    """All-string rows with their names, absence and types."""
     if na_values is None:
         clean = [F.when(~F.col(c).isin(*MISSING), F.col(c)) for c in raw.columns]
     else:
         clean = [F.when(~F.coalesce(F.col(c), F.lit("")).isin(*na_values), F.coalesce(F.col(c), F.lit(""))) if na_values else F.coalesce(F.col(c), F.lit("")) for c in raw.columns]
     rows = raw.select(*[x.alias(c) for x, c in zip(clean, raw.columns)]).toDF(*names)
-    if width == 1:
+    if len(names) == 1:
         sample = [names[0], *[r[0] or "" for r in raw.limit(5).collect()]]
         for other in (";", "\t", "|"):
             if other != sep and all(other in s for s in sample):
-                warnings.warn(f"one column only; is the separator {other!r}?", stacklevel=2)
+                warnings.warn(f"one column only; is the separator {other!r}?", stacklevel=3)
     return infer_columns(rows, decimal)
 
 
-def read_csv_mem(spark: SparkSession, text: str, **options) -> DataFrame:
-    """A CSV text as a typed DataFrame."""
-    if not text:
+def read_csv_mem(spark: SparkSession, text: str, sep: str = ",", header: bool = True, quote: str = '"', decimal: str = ".", na_values: Sequence[str] | None = None) -> DataFrame:
+    """A CSV text, on the driver, as a typed DataFrame; the rules of read_csv."""
+    if sep == decimal:
+        raise ValueError("separator and decimal mark are equal")
+    rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep, quotechar=quote) if r]
+    if not rows:
         raise ValueError("empty input")
-    import os
-    import tempfile
-
-    from ..session import shared_dir
-
-    folder = shared_dir(spark).removeprefix("file://")
-    os.makedirs(folder, exist_ok=True)
-    with tempfile.NamedTemporaryFile("w", suffix=".csv", dir=folder, delete=False, encoding="utf-8", newline="") as f:
-        f.write(text)
-    return materialize(read_csv(spark, f"file://{f.name}", **options), "csv")
+    width = len(rows[0])
+    names = rows[0] if header else [f"col{i}" for i in range(width)]
+    body = [(r + [None] * width)[:width] for r in rows[header:]]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    return _finished(spark.createDataFrame(body, schema), names, sep, decimal, na_values)
 
 
 def as_text(df: DataFrame, decimal: str = ".") -> DataFrame:
