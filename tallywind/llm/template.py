@@ -108,7 +108,7 @@ def take_apart(sentence: str) -> tuple[str, str]:
     if any(m in sentence for m in _EMPTY_MARKS):
         sentence = _EMPTY.sub(" \x02 ", sentence)
     tokens = _TOKEN.findall(sentence)
-    words, kinds, gap = [], [], BLANK
+    words, kinds, gap, anchored = [], [], BLANK, False
     for i, t in enumerate(tokens):
         if t == "\x01":
             gap = VARIABLE
@@ -120,7 +120,9 @@ def take_apart(sentence: str) -> tuple[str, str]:
             lower = t == t.lower()
             inside = t in _SMALL and 0 < i < len(tokens) - 1 and tokens[i - 1][:1].isupper() and tokens[i + 1][:1].isupper()
             label = i + 1 < len(tokens) and tokens[i + 1] == ":" and (i == 0 or tokens[i - 1] in ".!?")
-            if (lower and not inside) or label or (i == 0 and t.lower() in _GREET):
+            greeting = i == 0 and t.lower() in _GREET
+            anchored |= label or greeting
+            if (lower and not inside) or label or greeting:
                 kinds.append(gap)
                 words.append(t.lower())
                 gap = BLANK
@@ -131,6 +133,8 @@ def take_apart(sentence: str) -> tuple[str, str]:
     if gap == BLANK and words and words[0] in _GREET and _BARE_GREETING.match(sentence):
         gap = PROPER  # a greeting of nobody by name is complete; one with a hole before its comma is not
     kinds.append(gap)
+    if len(words) < 2 and not anchored:  # too little to tell a hole from a text without slots
+        kinds = [PROPER if k == BLANK else k for k in kinds]
     return " ".join(words), "".join(kinds)
 
 
