@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MissingKey, TypeMismatch
@@ -137,21 +137,22 @@ class Groups:
         return self.df.groupBy(*self.keys).agg(F.pandas_udf(one, returns)(F.col(column)).alias(column))
 
     def transform(self, name: str, column: str, out: str | None = None) -> DataFrame:
-        """Every row with its group's aggregate of the column, a double."""
-        w = Window.partitionBy(*self.keys)
-        x, kind = F.col(column), self.kinds[column]
-        simple = {
-            "sum": lambda: F.coalesce(F.sum(x).over(w), F.lit(0)),
-            "mean": lambda: F.avg(x).over(w),
-            "min": lambda: F.min(F.when(~F.isnan(x), x) if kind == "float64" else x).over(w),
-            "max": lambda: F.max(F.when(~F.isnan(x), x) if kind == "float64" else x).over(w),
-            "std": lambda: F.stddev_samp(x).over(w),
-            "var": lambda: F.var_samp(x).over(w),
-            "median": lambda: F.percentile(x, F.lit(0.5)).over(w),
-            "prod": lambda: F.product(x).over(w),
-            "first": lambda: stats.first(x, self.order).over(w),
-            "last": lambda: stats.last(x, self.order).over(w),
-        }
-        if name not in simple:
+        """Every row with its group's aggregate of the column, a double.
+
+        Aggregated map-side and joined back, so that no task holds a group;
+        only `median` gathers a group's distinct values in one.
+        """
+        allowed = ("sum", "mean", "min", "max", "std", "var", "median", "prod", "first", "last")
+        if name not in allowed:
             raise ValueError(f"no transform {name!r}")
-        return self.df.withColumn(out or column, simple[name]().cast("double"))
+        x = F.col(column)
+        value = F.product(x) if name == "prod" else aggregate(name, x, self.kinds[column], self.order)
+        each = self.df.groupBy(*[F.col(k).alias(f"__{k}") for k in self.keys]).agg(value.cast("double").alias("__value"))
+        on = F.lit(True)
+        for k in self.keys:
+            on = on & (F.col(k) == F.col(f"__{k}"))
+        joined = self.df.join(each, on)
+        name_out = out or column
+        rest = [c for c in self.df.columns if c != name_out]
+        columns = [F.col("__value").alias(name_out) if c == name_out else F.col(c) for c in self.df.columns] if name_out in self.df.columns else [*rest, F.col("__value").alias(name_out)]
+        return joined.select(*columns)

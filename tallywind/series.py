@@ -497,9 +497,11 @@ class Series:
         return self._one(F.count_distinct(self.col))
 
     def unique(self) -> list[Any]:
+        """Distinct values in the order of their first appearance, on the driver; for many of them use stats.unique."""
         return [r[0] for r in stats.unique(self.frame.df.select(POS, self._plain.alias("x")), "x", POS).collect()]
 
     def value_counts(self) -> list[tuple[Any, int]]:
+        """(value, count), most frequent first, on the driver; for many of them use stats.value_counts."""
         return [tuple(r) for r in stats.value_counts(self.frame.df.select(self._plain.alias("x")), "x").collect()]
 
     def describe(self) -> dict[str, Any]:
