@@ -41,6 +41,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flags(spark, d).select("quote_id", "field")
 
 
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The flags that SQL can express: all but spikes of prices."""
+    flags = p2_flags(spark, d).select("quote_id", "field", F.explode(F.split("reasons", ",")).alias("reason"))
+    return flags.where(~((F.col("field") == "price") & (F.col("reason") == "spike")))
+
+
 def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     assets = table(spark, d, "ativos")
     steps = assets.select(F.lit("cotacoes").alias("tbl"), "asset", F.col("grid_min").alias("step_min"))
@@ -54,6 +60,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid(spark, d).where(F.col("status") != "observed").select("tbl", "asset", "slot_epoch")
 
 
+def p3_observed(spark: SparkSession, d: str) -> DataFrame:
+    return p3_grid(spark, d).where(F.col("status") == "observed").select("tbl", "asset", "slot_epoch", "readings")
+
+
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_from_unix_date(F.floor(F.col("ms") / DAY_MS).cast("int"))
     rows = known_quotes(spark, d).withColumn("day", day)
@@ -87,11 +97,17 @@ def p6_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile_loads(table(spark, d, "cotacoes"), table(spark, d, "ativos"))
 
 
+def p6_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """The exact aggregates of the profile, without the two-sample test."""
+    shares = ("price_absent", "volume_absent", "asset_absent", "unknown_share", "volume_ratio")
+    return p6_profile(spark, d).select("load_id", "n", *[F.round(c, 9).alias(c) for c in shares], "asset_distinct", "volume_min", "volume_max")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return differing_loads(materialize(p6_profile(spark, d), "profile"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p3_found, p3_grid, p4_found, p4_trailing, p4_volume, p5_found, p5_rows, p6_found, p6_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_exact, p3_found, p3_grid, p3_observed, p4_found, p4_trailing, p4_volume, p5_found, p5_rows, p6_found, p6_profile, p6_aggregates)}
 
 _CLOCK = r"([T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]*)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?"
 _DATES = "|".join(rf"[0-9]{{4}}{x}[0-9]{{2}}{x}[0-9]{{2}}|[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}[0-9]{{4}}" for x in "-/")
@@ -122,7 +138,28 @@ k AS (SELECT line_id, "timestamp", ms, a, p, q, CASE WHEN NOT quoted THEN 'bad_q
 WHEN p NOT IN {_MISSING} AND NOT (regexp_full_match(p, '{_B}[+-]?(?i:nan|inf)') OR (regexp_full_match(p, '{_B}[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(abs(TRY_CAST(trim(p) AS DOUBLE)) < 'inf'::DOUBLE, FALSE))) THEN 'bad_price'
 WHEN q NOT IN {_MISSING} AND NOT (regexp_full_match(q, '{_B}[+-]?[0-9]+') AND TRY_CAST(trim(q) AS BIGINT) IS NOT NULL) THEN 'bad_volume' END AS reason FROM m)"""
 
+_READINGS = rf"""r AS (SELECT 'q' || asset AS src, quote_id, ms, price, volume FROM ({moment_sql("cotacoes", "quote_id, asset, price, volume")}) WHERE ms IS NOT NULL AND asset IN (SELECT asset FROM ativos)
+UNION ALL SELECT 'f', quote_id, ms, price, volume FROM ({moment_sql("cotacoes_shib_brl", "quote_id, price, volume")}) WHERE ms IS NOT NULL)"""
+
+
+def _stuck_sql(field: str, present: str) -> str:
+    """Values of a field in runs of 20 or more equal ones."""
+    runs = f"SELECT *, sum(CAST({field} IS DISTINCT FROM last AS INTEGER)) OVER (PARTITION BY src ORDER BY ms, quote_id) AS run FROM (SELECT *, lag({field}) OVER (PARTITION BY src ORDER BY ms, quote_id) AS last FROM r WHERE {present})"
+    return f"SELECT quote_id, '{field}' AS field, 'stuck' AS reason FROM (SELECT quote_id, {field}, count(*) OVER (PARTITION BY src, run) AS n FROM ({runs})) WHERE n >= 20"
+
+
 SQL: dict[str, str] = {
+    "p2_exact": f"""WITH {_READINGS}, m AS (SELECT src, median(volume) AS usual FROM r WHERE volume > 0 GROUP BY 1)
+SELECT quote_id, 'price' AS field, 'impossible' AS reason FROM r WHERE NOT isnan(price) AND (price <= 0 OR isinf(price)) UNION ALL SELECT quote_id, 'volume', 'impossible' FROM r WHERE volume < 0
+UNION ALL SELECT quote_id, 'volume', 'spike' FROM r JOIN m USING (src) WHERE volume > 1000 * usual UNION ALL {_stuck_sql("price", "price IS NOT NULL AND NOT isnan(price)")}
+UNION ALL {_stuck_sql("volume", "volume IS NOT NULL").replace("WHERE n >= 20", "WHERE n >= 20 AND volume <> 0")}""",
+    "p3_observed": rf"""WITH r AS ({moment_sql("cotacoes", "'cotacoes' AS tbl, asset, price")} UNION ALL {moment_sql("cotacoes_shib_brl", "'cotacoes_shib_brl', 'SHIB_BRL', price")}),
+g AS (SELECT 'cotacoes' AS tbl, asset, grid_min AS w FROM ativos UNION ALL SELECT 'cotacoes_shib_brl', asset, feed_grid_min FROM ativos WHERE asset = 'SHIB_BRL')
+SELECT tbl, asset, CAST(floor(ms / (w * 60000)) AS BIGINT) * w * 60 AS slot_epoch, count(*) AS readings FROM r JOIN g USING (tbl, asset) WHERE ms IS NOT NULL AND price IS NOT NULL AND NOT isnan(price) GROUP BY ALL""",
+    "p6_aggregates": """WITH q AS (SELECT *, coalesce(asset IN (SELECT asset FROM ativos), FALSE) AS k FROM cotacoes), m AS (SELECT asset, median(volume) AS mv FROM q WHERE k AND volume > 0 GROUP BY 1),
+r AS (SELECT load_id, round(median(volume / mv), 9) AS volume_ratio FROM q JOIN m USING (asset) WHERE k AND volume > 0 GROUP BY 1)
+SELECT s.*, r.volume_ratio FROM (SELECT load_id, count(*) AS n, round(avg(CAST(price IS NULL OR isnan(price) AS INTEGER)), 9) AS price_absent, round(avg(CAST(volume IS NULL AS INTEGER)), 9) AS volume_absent, round(avg(CAST(asset IS NULL AS INTEGER)), 9) AS asset_absent,
+round(count(*) FILTER (asset IS NOT NULL AND NOT k) / count(asset), 9) AS unknown_share, count(DISTINCT asset) AS asset_distinct, min(volume) AS volume_min, max(volume) AS volume_max FROM q GROUP BY 1) s LEFT JOIN r USING (load_id)""",
     "p3_found": rf"""WITH r AS ({moment_sql("cotacoes", "'cotacoes' AS tbl, asset, price")} UNION ALL {moment_sql("cotacoes_shib_brl", "'cotacoes_shib_brl', 'SHIB_BRL', price")}),
 g AS (SELECT 'cotacoes' AS tbl, asset, grid_min AS w FROM ativos UNION ALL SELECT 'cotacoes_shib_brl', asset, feed_grid_min FROM ativos WHERE asset = 'SHIB_BRL'),
 s AS (SELECT DISTINCT tbl, asset, w, CAST(floor(ms / (w * 60000)) AS BIGINT) AS slot FROM r JOIN g USING (tbl, asset) WHERE ms IS NOT NULL AND price IS NOT NULL AND NOT isnan(price)),
