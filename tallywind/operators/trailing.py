@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def trailing_totals(
     df: DataFrame,
@@ -45,6 +47,7 @@ def trailing_totals(
             *[F.count(present[m]).alias(f"__n{i}") for i, m in enumerate(measures)],
         )
     )
+    daily = materialize(daily, "daily")  # a row per entity and day, used twice
     keys = [f"__e{i}" for i in range(len(entity))]
     calendar = (
         daily.where(F.col("__active") > 0)
