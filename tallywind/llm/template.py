@@ -64,19 +64,19 @@ _STATUS = re.compile(
 )
 _PAGE = tuple(
     "not found|couldn't find|couldn’t find|could not find|forbidden|unauthorized|unauthorised|access denied|permission to open|permission to view|permission to access|bad request|bad gateway|server error|unavailable|isn't available|isn’t available|"
-    "timed out|timeout|time-out|time out|session has ended|session has expired|session ended|session expired|sign in again|log in again|too many requests|link has expired|service is down|went wrong|error code|can't show|can’t show|cannot show|cannot display|"
+    "connection failed|connection error|request blocked|access blocked|timed out|timeout|time-out|time out|session has ended|session has expired|session ended|session expired|sign in again|log in again|too many requests|link has expired|service is down|went wrong|error code|can't show|can’t show|cannot show|cannot display|"
     "unexpected condition|unexpected error|could not be found|could not be shown|could not finish|could not complete|could not connect|application error|checking your browser|browser settings|unusual traffic|not a robot|page has moved|page has expired|"
     "connection refused|try again later|try again in a few|contact the administrator|not completed|scripts are switched off|enable them|turn them on|request id|code: |código: |upstream|unhandled exception|stack trace|traceback|"
-    "não encontr|não foi encontr|acesso negado|não autorizad|indisponível|sessão expir|sessão encerr|sessão termin|erro interno|erro inesperado|tente novamente|tente mais tarde|foi removido|mudou de endereço|não tem permissão|conseguimos mostrar|não foi concluíd|"
+    "não encontr|não foi encontr|acesso negado|não autorizad|indisponível|sessão expir|sessão encerr|sessão termin|erro interno|erro inesperado|tente novamente|tente mais tarde|erro do servidor|erro no servidor|erro da aplicação|foi removido|mudou de endereço|não tem permissão|conseguimos mostrar|não foi concluíd|"
     "fora do ar|contate o administrador|concluir a sua solicitação|link expirou|deu errado|não foi possível|"
-    "no encontr|no se encontr|no se ha encontr|no se pud|acceso denegado|no autorizado|no disponible|no está disponible|sesión expir|sesión ha expir|sesión caduc|sesión ha caduc|sesión termin|inténtelo|error interno|error inesperado|no tiene permiso|pudimos mostrar|"
+    "no encontr|no se encontr|no se ha encontr|no se pud|acceso denegado|no autorizado|no disponible|no está disponible|sesión expir|sesión ha expir|sesión caduc|sesión ha caduc|sesión termin|inténtelo|error interno|error inesperado|no tiene permiso|pudimos mostrar|error del servidor|error en el servidor|error de la aplicación|"
     "fuera de servicio|fuera de línea|contacte al administrador|no se complet|enlace caduc|enlace ha caduc|enlace expir|enlace ha expir|"
-    "nicht gefunden|existiert nicht|zugriff verweigert|nicht erreichbar|nicht verfügbar|sitzung ist abgelaufen|sitzung abgelaufen|serverfehler|später noch einmal|später erneut|keine berechtigung|fehler aufgetreten|nicht angezeigt werden|link ist abgelaufen|"
+    "nicht gefunden|existiert nicht|zugriff verweigert|nicht erreichbar|nicht verfügbar|sitzung ist abgelaufen|sitzung abgelaufen|serverfehler|server-fehler|fehler im server|anwendungsfehler|später noch einmal|später erneut|keine berechtigung|fehler aufgetreten|nicht angezeigt werden|link ist abgelaufen|"
     "außer betrieb|wenden sie sich an den administrator|versuchen sie es|anfrage konnte nicht|anfrage wurde nicht".split("|")
 )
-_SCRIPT = re.compile(r"java ?script|\bjs\b|\bscripts?\b|\bscripting\b|client-side|secuencias de comandos|skripte?\b|\bcookies\b", re.I)
+_SCRIPT = re.compile(r"java ?script|\bjs\b|\bscripts?\b|\bscripting\b|client-side|secuencias de comandos|skript\w*|\bcookies\b", re.I)
 _DEMAND = re.compile(
-    r"enable|activate|allow|turn (?:it |them )?on|switch on|needs?\b|require|disabled|does(?:n['’]t| not) support|must be|ative|ativar|habilit|permit|ligue|precisa|necess|desativad|não executa|não suporta|active|activar|encienda|necesari|desactivad|no admite|no ejecuta|aktivier|einschalt|erlaub|zulassen|benötig|deaktiviert|unterstützt",
+    r"enable|activate|allow|turn (?:it |them )?on|switch on|needs?\b|require|disabled|does(?:n['’]t| not) support|must be|ative|ativar|habilit|permit|ligue|precisa|necess|desativad|não executa|não suporta|active|activar|encienda|necesari|desactivad|no admite|no ejecuta|aktivier|ein(?:ge)?schalt|an(?:ge)?schalt|erlaub|zulassen|zugelassen|benötig|deaktiviert|unterstützt",
     re.I,
 )
 _CHROME = re.compile(r"^(?:(?:oo?ps|ops|oh no|whoops|sorry|desculpe|lamentamos|lo sentimos|entschuldigung|hoppla|ups)[!.,:]?|(?:please |por favor,? |bitte )?(?:wait|aguarde|espere|warten sie) \d+ (?:seconds?|segundos?|sekunden)\.?|reload|refresh|home|back|go back|privacy(?: \| \w+)*|terms|contact|retry|voltar|recarregar|início|volver|zurück|neu laden|at [\w.$]+\(.*\)|file \S+, line \d+.*|\w+error: .*|loading\W*.*|[\w ]{1,20}(?: [|·] [\w ]{1,20})+)$", re.I)
