@@ -60,7 +60,8 @@ def decode(code: np.ndarray) -> np.ndarray:
     size = np.where(code >= top, code - top, top - 1 - code)
     low = (size << (64 - BITS)).view(np.float64)
     high = ((size + 1) << (64 - BITS)).view(np.float64)
-    middle = np.where((size == 0) | np.isinf(low) | ~np.isfinite(high), low, low / 2 + high / 2)
+    with np.errstate(invalid="ignore"):  # the code above the largest number stands for no value
+        middle = np.where((size == 0) | np.isinf(low) | ~np.isfinite(high), low, low / 2 + high / 2)
     return np.where(code >= top, middle, -middle)
 
 
