@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .mail import own_text
-from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, labels, sentences, take_apart
+from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, labels, seeds, sentences, take_apart
 
 _SCHEMA = "id long, key binary, variant binary, kinds string, what string, seeded boolean"
 _TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.bool_())
@@ -45,7 +45,7 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     text = own.notice  # nothing else to see: the notice is the page
                     parts = sentences(text)
                 what = labels(parts) if parts and hinted(text) else [CODE if code else OTHER for _, code, _ in parts]
-                seeded = any(w in (SEED, FILLER) for w in what) or (LIKELY in what and set(what) <= {LIKELY, GREETING})
+                seeded = seeds(parts, what)
                 for (sentence, code, _), w in zip(parts, what):
                     key = variant = kinds = None
                     if not code:
@@ -72,7 +72,7 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A record is a `page` if all its sentences, greeting and heading apart, are
     filler or lines of an error page or demand for scripts. Such lines are known
     by wording, or induced: templates that occur in at least `repeats` records,
-    `page_share` of them with a line of known wording.
+    `page_share` of them with a line of known wording (see template.seeds).
 
     Rows with a null id are kept under null; repeated ids are one record's
     sentences. Counting is map-side combined, the templates' statistics join on

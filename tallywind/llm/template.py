@@ -79,6 +79,10 @@ _DEMAND = re.compile(
     r"enable|activate|allow|turn (?:it |them )?on|switch on|needs?\b|require|disabled|does(?:n['’]t| not) support|must be|ative|ativar|habilit|permit|ligue|precisa|necess|desativad|não executa|não suporta|active|activar|encienda|necesari|desactivad|no admite|no ejecuta|aktivier|ein(?:ge)?schalt|an(?:ge)?schalt|erlaub|zulassen|zugelassen|benötig|deaktiviert|unterstützt",
     re.I,
 )
+# The first person of one who reports, which pages and demands do not use; the verb forms are the past of pt and es
+_REPORT = re.compile(
+    r"(?<![\w-])(?:i|i['’](?:ve|d|ll|m)|me|my|mine|eu|meus?|minhas?|comigo|yo|mis?|conmigo|ich|mir|mich|mein(?:e[mnrs]?)?)(?![\w-])|\b(?!(?:aqu|as|all|ah|caf|tamb|at|qu|ol|p)[éí]\b)\w{2,}[éí]\b|\b\w{3,}ei\b", re.I
+)
 _CHROME = re.compile(r"^(?:(?:oo?ps|ops|oh no|whoops|sorry|desculpe|lamentamos|lo sentimos|entschuldigung|hoppla|ups)[!.,:]?|(?:please |por favor,? |bitte )?(?:wait|aguarde|espere|warten sie) \d+ (?:seconds?|segundos?|sekunden)\.?|reload|refresh|home|back|go back|privacy(?: \| \w+)*|terms|contact|retry|voltar|recarregar|início|volver|zurück|neu laden|at [\w.$]+\(.*\)|file \S+, line \d+.*|\w+error: .*|loading\W*.*|[\w ]{1,20}(?: [|·] [\w ]{1,20})+)$", re.I)
 
 
@@ -192,6 +196,20 @@ def labels(parts: list[tuple[str, bool, bool]]) -> list[str]:
     return out
 
 
+def seeds(parts: list[tuple[str, bool, bool]], what: list[str]) -> bool:
+    """Whether a text holds a line of known wording that may make it a page: filler, a line that stands alone, or one that may belong to a page
+    - unless these are less than a third of the sentences (a full text of its own), someone reports in the first person, or it is shown as code.
+    Nothing but likely lines is always a page."""
+    if any(w in (SEED, FILLER) for w in what):
+        return True
+    if LIKELY not in what:
+        return False
+    if set(what) <= {LIKELY, GREETING}:
+        return True
+    shown = sum(w == LIKELY and not code for (_, code, _), w in zip(parts, what))
+    return 0 < len(what) - what.count(GREETING) <= 3 * shown and not any(_REPORT.search(s) for s, _, _ in parts)
+
+
 def _label(sentence: str, code: bool, whole_line: bool, first: bool, more: bool) -> str:
     if is_filler(sentence):
         return FILLER
@@ -200,8 +218,10 @@ def _label(sentence: str, code: bool, whole_line: bool, first: bool, more: bool)
     if "\x03" in sentence:
         return OTHER
     words, low = len(sentence.split()), sentence.lower()
-    seed = (len(sentence) < 100 and ("4" in low or "5" in low) and _STATUS.match(sentence) is not None) or (words <= 18 and _SCRIPT.search(sentence) and _DEMAND.search(sentence))
-    likely = words <= 22 and any(p in low for p in _PAGE)
+    seed = (("4" in low or "5" in low) and _STATUS.match(sentence) is not None) or (_SCRIPT.search(sentence) and _DEMAND.search(sentence))
+    likely = any(p in low for p in _PAGE)
+    if words > 18 and (seed or likely) and _REPORT.search(sentence):
+        seed = likely = False  # a long sentence that reports about a page
     if code and not (likely or seed):
         return CODE
     if seed and whole_line and not code:

@@ -85,3 +85,18 @@ def test_find_residue(spark):
     assert set(got) == set(cases)
     assert got[1000] == "unfilled" and got[1004] == got[1005] == got[1006] == "page"
     assert find_residue(df.limit(0)).count() == 0
+
+
+def test_pages_with_unlisted_sentences(spark):
+    notice = "We're sorry but my-app doesn't work properly without JavaScript enabled. Please enable it to continue."
+    gone = "The page was not found. Use the search on our start page instead."
+    long = "Because this bulletin draws every one of its tables and figures while you look at it, you have to enable JavaScript in your browser before any of it can be shown to you here."
+    report = "Several readers complain that our bulletin tells them to enable JavaScript. I moved the table into static markup, so that message is gone now."
+    reporte = "Vários leitores dizem que o boletim pede para ativar JavaScript. Coloquei a tabela em texto simples e a mensagem sumiu."
+    short = "Since 9:00 the quotes page answers 404 Not Found for 5 of our links. I traced it to the renamed folder and put redirects in place."
+    plain = "The room is booked for the morning. Please bring the ledger with you."
+    full = "Your parcel has left. The courier rings twice. Somebody should be at home. If the map is unavailable, look at the slip."
+    pages, fine = (notice, gone, long), (report, reporte, short, plain, full)
+    data = [(100 * k + i, mail(text)) for k, text in enumerate(pages + fine) for i in range(5)]
+    got = {r.doc_id for r in find_residue(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {100 * k + i for k in range(len(pages)) for i in range(5)}
