@@ -44,7 +44,7 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if own.notice and all(code for _, code, _ in parts):
                     text = own.notice  # nothing else to see: the notice is the page
                     parts = sentences(text)
-                what = labels(parts) if parts and hinted(text) else [CODE if code else OTHER for _, code, _ in parts]
+                what = labels(parts) if parts and hinted(text, parts) else [CODE if code else OTHER for _, code, _ in parts]
                 seeded = seeds(parts, what)
                 for (sentence, code, _), w in zip(parts, what):
                     key = variant = kinds = None

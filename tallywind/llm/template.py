@@ -47,16 +47,20 @@ _LATIN = frozenset(
     "non proident sunt culpa qui officia deserunt mollit anim id est laborum vitae urna lacus felis neque porta quasi morbi nobis vesti kuram".split()
 )
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-_PLACE = re.compile(
-    r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)\b|(?:text|heading|content|title) (?:goes )?here|placeholder text|,? ?replace before sending|body copy|copy tbd|(?-i:\bTBD\b|\bTODO\b)|texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)|texto (?:provisório|de relleno|de exemplo)|título (?:aquí|aqui)|überschrift|platzhalter\w*|blindtext|hier (?:steht|kommt)|mustertext|inhalt (?:folgt|einfügen)",
-    re.I,
-)
-#: Every phrase of _PLACE holds one of these, in lower case.
-_PLACE_PARTS = tuple(
-    "your text|your content|your copy|your message|your own|insert |add text|add your|add some|type your|type some|type text|enter text|enter your|put your|put some|sample text|sample content|sample copy|sample message|dummy |placeholder|text here|heading here|content here|title here|goes here|body copy|tbd|texto aqu|"
-    "seu texto|su texto|digite|insira|escriba aqu|título da seção|conteúdo provisório|conteúdo da mensagem|contenido provisional|contenido del mensaje|texto provisório|texto de relleno|texto de exemplo|título aqu|überschrift|platzhalter|blindtext|hier steht|"
-    "hier kommt|mustertext|inhalt folgt|inhalt einfügen".split("|")
+#: Phrases, each with what any text that it matches holds, in lower case (TODO stands apart, as "todo" is a common word).
+_PLACES = (
+    (r"(?:your|insert|add|type|enter|put|sample|dummy|placeholder) (?:\w+ ){0,2}(?:text|content|copy|message)\b", (" text", " content", " copy", " message")),
+    (r"(?:text|heading|content|title) (?:goes )?here", ("text here", "heading here", "content here", "title here", " goes here")),
+    (r",? ?replace before sending", ("replace before sending",)),
+    (r"placeholder text|body copy|copy tbd|(?-i:\bTBD\b)|blindtext|mustertext|platzhalter\w*|überschrift", ("placeholder text", "body copy", "tbd", "blindtext", "mustertext", "platzhalter", "überschrift")),
+    (r"texto aqu[ií]|seu texto|su texto|digite|insira|escriba aqu[ií]|título da seção|título (?:aquí|aqui)", ("texto aqu", "seu texto", "su texto", "digite", "insira", "escriba aqu", "título da seção", "título aqu")),
+    (r"conteúdo (?:provisório|da mensagem)|contenido (?:provisional|del mensaje)", ("conteúdo provisório", "conteúdo da mensagem", "contenido provisional", "contenido del mensaje")),
+    (r"texto (?:provisório|de relleno|de exemplo)", ("texto provisório", "texto de relleno", "texto de exemplo")),
+    (r"hier (?:steht|kommt)|inhalt (?:folgt|einfügen)", ("hier steht", "hier kommt", "inhalt folgt", "inhalt einfügen")),
 )
+_PLACE = re.compile("|".join([p for p, _ in _PLACES] + [r"(?-i:\bTODO\b)"]), re.I)
+_PLACE_PARTS = tuple(h for _, parts in _PLACES for h in parts)
+_FOLDED = ("İ", "ı", "ſ")  # letters that match i or s regardless of case, but are not i or s in lower case
 
 # What error pages and demands for scripts say, in the four languages of the corpus
 _STATUS = re.compile(
@@ -144,8 +148,10 @@ def take_apart(sentence: str) -> tuple[str, str]:
 
 _WORD = re.compile(r"[^\W\d_]+")
 _ROW_SETS = tuple(map(frozenset, _ROWS))
-# parts of which a text has one if it holds any page line, demand for scripts or filler phrase; what repeats few letters is tested apart
-_HINTS = (*_PAGE, "script", " js ", "js ", "secuencias", "client-side", "skript", "cookie", *_PLACE_PARTS, "ipsum", "lorem", "kuram", "vesti", "nobis", "morbi", "lacus", "felis", "neque", "elit", "amet", "velit", "urna", "quasi", "dolor", "magna")
+# Common words whose letters all lie in one row
+_IN_A_ROW = frozenset("i we you it to or our your were try per tu eu por pro tipo quer quero porque outro yo tuyo pero wo wie wir er euer a as has had all shall ask da das als falls sala fala".split())
+# every page line holds one of the first, every demand for scripts one of the others, in lower case
+_HINTS = (*_PAGE, "script", "js", "client-side", "secuencias de comandos", "skript", "cookies")
 
 
 def _repeats(parts: list[str]) -> bool:
@@ -153,34 +159,44 @@ def _repeats(parts: list[str]) -> bool:
     return len(set(parts)) <= min(3, len(parts) // 4)
 
 
-def hinted(own: str) -> bool:
-    """Whether any sentence of the text can be filler or a page's line: a cheap test before the exact ones."""
+def hinted(own: str, parts: list[tuple[str, bool, bool]]) -> bool:
+    """Whether any sentence of the text may be filler or a page's line: a cheap test that holds for every text in which labels() finds one."""
     low = own.lower()
-    if any(h in low for h in _HINTS) or "TODO" in own:
+    if any(h in low for h in _HINTS) or _may_hold_place(own, low) and _PLACE.search(own) or any(c in own for c in _FOLDED):
+        return True
+    if ("4" in own or "5" in own) and any(_STATUS.match(s) for s, _, _ in parts if "4" in s or "5" in s):
         return True
-    for line in low.split("\n"):
-        if ("4" in line or "5" in line) and len(line) < 100 and _STATUS.match(line.strip()):
-            return True
-        if len(line) >= 12 and len(words := line.split()) >= 3 and (len(set(line)) <= 15 or _repeats(words)):
-            return True
-    return False
+    return any(_babble(s) for s, _, _ in parts)
+
+
+def _may_hold_place(text: str, low: str) -> bool:
+    return any(p in low for p in _PLACE_PARTS) or "TODO" in text or any(c in text for c in _FOLDED)
 
 
 def is_filler(sentence: str) -> bool:
     """Lorem ipsum, keyboard mashing, one word over and over, or a phrase that only holds a text's place."""
+    if _may_hold_place(sentence, sentence.lower()) and _PLACE.search(sentence) and len(_PLACE.sub("", _VARIABLE.sub("", sentence)).split()) <= max(1, len(_WORD.findall(sentence)) // 3):
+        return True
+    return _babble(sentence)
+
+
+def _babble(sentence: str) -> bool:
+    """Lorem ipsum, keyboard mashing, or one word over and over."""
     low = sentence.lower()
     words = _WORD.findall(low)
-    if (any(p in low for p in _PLACE_PARTS) or "TODO" in sentence) and _PLACE.search(sentence) and len(_PLACE.sub("", _VARIABLE.sub("", sentence)).split()) <= max(1, len(words) // 3):
-        return True
     if not words:
         return len(sentence) >= 12 and _repeats(sentence.split())
-    if len(words) >= 3 and sum(w in _LATIN for w in words) >= 0.6 * len(words):
+    if len(words) < 3:
+        return False
+    if sum(map(_LATIN.__contains__, words)) >= 0.6 * len(words):
         return True
     if len(words) >= 4 and _repeats(low.split()):
         return True
-    if len(words) >= 3 and len(set("".join(words))) <= 14 and sum(any(r.issuperset(w) for r in _ROW_SETS) for w in words) >= 0.9 * len(words) and len("".join(words)) >= 12:
-        return True
-    return False
+    letters = "".join(words)
+    if len(letters) < 12 or len(set(letters)) > 14 or sum(any(r.issuperset(w) for r in _ROW_SETS) for w in words) < 0.9 * len(words):
+        return False
+    # neither one word numbered through nor a sentence that happens to lie in one row
+    return (len(set(words)) > 1 or len(set(filter(str.isalnum, low))) <= 14) and len(_IN_A_ROW.intersection(words)) < 2
 
 
 def labels(parts: list[tuple[str, bool, bool]]) -> list[str]:

@@ -1,8 +1,11 @@
 import base64
+import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from tallywind.llm import template as T
 from tallywind.llm.mail import own_text
 from tallywind.llm.residue import find_residue
 from tallywind.llm.template import is_filler, labels, sentences, take_apart
@@ -100,3 +103,48 @@ def test_pages_with_unlisted_sentences(spark):
     data = [(100 * k + i, mail(text)) for k, text in enumerate(pages + fine) for i in range(5)]
     got = {r.doc_id for r in find_residue(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert got == {100 * k + i for k in range(len(pages)) for i in range(5)}
+
+
+def spelt(pattern):
+    """Texts that together take every branch and every number of repetitions (at most two) of a regular expression."""
+
+    def run(tree):
+        out = [""]
+        for op, x in tree:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(x)]
+            elif op == "IN":
+                more = [chr(y) if str(o) == "LITERAL" else "w" for o, y in x]
+            elif op == "BRANCH":
+                more = [t for b in x[1] for t in run(b)]
+            elif op == "SUBPATTERN":
+                more = run(x[3])
+            elif op == "MAX_REPEAT":
+                more = ["".join(t) for n in range(x[0], min(int(x[1]), max(x[0], 2)) + 1) for t in itertools.product(run(x[2]), repeat=n)]
+            else:
+                assert op == "AT", op
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return set(run(re._parser.parse(pattern)))
+
+
+def test_hints_cover_the_labels():
+    for pattern, hints in T._PLACES:
+        for text in spelt(pattern):
+            assert re.fullmatch(pattern, text, re.I) and any(h in text.lower() for h in hints), text
+    assert all(any(h in t for h in T._HINTS) for t in spelt(T._SCRIPT.pattern))
+    rng = random.Random(8)
+    pick = lambda words, n: " ".join(rng.choice(sorted(words)) for _ in range(n))
+    latin = ["Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat.", "Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit."]
+    texts = latin + ["This bulletin requires JS, which your browser currently has off.", "Precisa-se de (JS).", "We met. asdf asdf asdf asdf asdf", "qwer-asdf-zxcv-qwer", "Enter your message", "TODO", "Add new content", "ſample text", "Error " + "-" * 120 + " 404"]
+    texts += [pick(T._LATIN, 3 + k % 9) for k in range(300)] + sorted(t for p, _ in T._PLACES for t in spelt(p)) + [f"Error {n}" for n in (400, 404, 500)]
+    texts += [f"{p} x" for p in T._PAGE] + [f"Please enable {t}." for t in spelt(T._SCRIPT.pattern)]
+    for text in texts:
+        parts = sentences(text)
+        assert T.hinted(text, parts) or not set(labels(parts)) & set("SFL"), text
+    assert all(set(labels(sentences(t))) & set("SFL") for t in texts[:3] + texts[4:8])
+    assert not is_filler("You were to try it, or we quote your property.")
+    assert not T.hinted("The room is booked for the morning.", sentences("The room is booked for the morning."))
