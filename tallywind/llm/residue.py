@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .mail import own_text
-from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, labels, seeds, sentences, take_apart
+from .template import CODE, FILLER, GREETING, LIKELY, OTHER, SEED, hinted, holes, labels, open_fields, seeds, sentences, take_apart
 
-_SCHEMA = "id long, key binary, variant binary, kinds string, what string, seeded boolean"
-_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.bool_())
+_SCHEMA = "id long, key binary, variant binary, copy binary, kinds string, what string, seeded boolean, marked boolean"
+_TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+_NAMES = ["id", "key", "variant", "copy", "kinds", "what", "seeded", "marked"]
 
 
 def _digest(text: str) -> bytes:
@@ -26,9 +27,9 @@ _NO_WORDS = _digest("")
 
 
 def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per sentence of each record's own text: id, template key and variant (digests), slot kinds, what it is, whether the record has a seed line.
+    """One row per sentence of each record's own text: id, template key, variant and the sentence itself (digests), slot kinds, what it is, whether the record has a seed line, whether a field is open.
 
-    A variant is a template with the kinds of its slots. Code has neither.
+    A variant is a template with the kinds of its slots. Code has no digests.
 
     Null, empty and blank texts, and texts without own words, give no rows.
     Whole texts are read, whatever their length.
@@ -36,7 +37,7 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[] for _ in _NAMES]
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = own_text(text)
                 text = own.text
@@ -46,28 +47,33 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     parts = sentences(text)
                 what = labels(parts) if parts and hinted(text, parts) else [CODE if code else OTHER for _, code, _ in parts]
                 seeded = seeds(parts, what)
-                for (sentence, code, _), w in zip(parts, what):
-                    key = variant = kinds = None
+                for (sentence, code, _), w, marked in zip(parts, what, open_fields(parts)):
+                    key = variant = copy = kinds = None
                     if not code:
                         words, kinds = take_apart(sentence)
-                        key, variant = _digest(words), _digest(f"{words}\n{kinds}")
-                    for c, v in zip(cols, (i, key, variant, kinds, w, seeded)):
+                        kinds = holes(words, kinds)
+                        key, variant, copy = _digest(words), _digest(f"{words}\n{kinds}"), _digest(sentence)
+                    for c, v in zip(cols, (i, key, variant, copy, kinds, w, seeded, marked)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=["id", "key", "variant", "kinds", "what", "seeded"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
 
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, _SCHEMA)
 
 
-def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filled_share: float = 0.5, blank_share: float = 0.7, page_share: float = 0.8, repeats: int = 3) -> DataFrame:
+def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", filled_share: float = 0.0, blank_share: float = 0.7, page_share: float = 0.8, repeats: int = 3) -> DataFrame:
     """The records that are residue: id column and `reason` (`unfilled`, `page`).
 
     Sentences of all records are aligned by their template (take_apart): the
     fixed words are the anchors, the gaps between them the slots. A slot is one
-    that holds values if at least `filled_share` of the template's records have
-    a proper value there. A record that retains a variable name or an empty
-    default in such a slot, or a blank where at least `blank_share` have a value,
-    is `unfilled`; a sentence that always shows a variable name, as one that
-    speaks about templates does, is not. Quotations and code are no slots.
+    that holds values if more than `filled_share` of the template's records - by
+    default any - have a proper value there. A record that retains a variable
+    name or an empty default in such a slot is `unfilled`, or a blank where at
+    least `blank_share` have a value (estimated with one more of either kind, so
+    that few records do not decide); for a hole after a word that needs another
+    one (template.holes) equal sentences count once too, so that a failed mailing
+    to many does not outvote the rest. A sentence that always shows a variable
+    name, as one that speaks about templates does, is not, unless the field is
+    open by itself (template.open_fields). Quotations and code are no slots.
 
     A record is a `page` if all its sentences, greeting and heading apart, are
     filler or lines of an error page or demand for scripts. Such lines are known
@@ -79,16 +85,19 @@ def find_residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the template key; nothing is collected. An empty table gives no rows.
     """
     parts = materialize(take_apart_texts(df, id_col, text_col), "sentences")
-    counted = parts.where(F.col("key").isNotNull()).groupBy("key", "variant").agg(F.first("kinds").alias("kinds"), F.count("*").alias("n"))
+    counted = parts.where(F.col("key").isNotNull()).groupBy("key", "variant").agg(F.first("kinds").alias("kinds"), F.count("*").alias("n"), F.countDistinct("copy").alias("copies"))
     counted = materialize(counted, "templates")
     # only a template whose records differ has slots to judge by
     several = counted.groupBy("key").agg(F.count("*").alias("variants")).where("variants > 1").select("key")
-    gaps = counted.join(several, "key").select("key", "variant", "n", F.posexplode(F.split("kinds", "")).alias("slot", "kind")).where(F.col("kind") != "")
-    slots = gaps.groupBy("key", "slot").agg(F.sum("n").alias("all"), (F.sum(F.when(F.col("kind") == "P", F.col("n")).otherwise(0)) / F.sum("n")).alias("proper"))
-    judged = gaps.where(F.col("kind").isin("V", "N", "B")).join(slots, ["key", "slot"])
-    left = (F.col("kind").isin("V", "N") & (F.col("proper") >= filled_share)) | ((F.col("kind") == "B") & (F.col("proper") >= blank_share) & (F.col("all") >= 10))
+    gaps = counted.join(several, "key").select("key", "variant", "n", "copies", F.posexplode(F.split("kinds", "")).alias("slot", "kind")).where(F.col("kind") != "")
+    proper = lambda n: F.sum(F.when(F.col("kind") == "P", F.col(n)).otherwise(0))
+    likely = lambda n: (proper(n) + 1) / (F.sum(n) + 2)
+    slots = gaps.groupBy("key", "slot").agg((proper("n") / F.sum("n")).alias("proper"), likely("n").alias("likely"), likely("copies").alias("likely_once"))
+    judged = gaps.where(F.col("kind").isin("V", "N", "B", "H")).join(slots, ["key", "slot"])
+    blank = F.col("kind").isin("B", "H") & (F.col("likely") >= blank_share) | (F.col("kind") == "H") & (F.col("likely_once") >= blank_share)
+    left = (F.col("kind").isin("V", "N") & (F.col("proper") > filled_share)) | blank
     bad = judged.where(left).select("variant").distinct()
-    unfilled = parts.join(bad, "variant").select("id").distinct().withColumn("reason", F.lit("unfilled"))
+    unfilled = parts.join(bad, "variant").select("id").unionByName(parts.where("marked").select("id")).distinct().withColumn("reason", F.lit("unfilled"))
 
     known = F.col("what").isin(GREETING, FILLER, SEED, LIKELY)
     other = parts.where((F.col("what") == "O") & (F.col("key") != F.lit(_NO_WORDS)))

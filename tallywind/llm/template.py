@@ -33,8 +33,9 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 # Small words inside names of places, and the first words of greetings
 _SMALL = frozenset("da do de das dos del la el von van e".split())
 _GREET = frozenset("hi hello dear hey olá ola oi caro cara prezado prezada prezados prezadas hola estimado estimada estimados estimadas hallo liebe lieber guten".split())
+_GREETS = r"(?:hi|hello|dear|hey|good (?:morning|afternoon|evening)|olá|ola|oi|bom dia|boa (?:tarde|noite)|prezad[oa]s?(?:\(a\))?|car[oa]s?|hola|buenos días|buenas (?:tardes|noches)|estimad[oa]s?|hallo|guten (?:morgen|tag)|liebe[rs]?|sehr geehrte[rs]?)"
 _GREETING = re.compile(
-    r"^(?:(?:hi|hello|dear|hey|good (?:morning|afternoon|evening)|olá|ola|oi|bom dia|boa (?:tarde|noite)|prezad[oa]s?(?:\(a\))?|car[oa]s?|hola|buenos días|buenas (?:tardes|noches)|estimad[oa]s?|hallo|guten (?:morgen|tag)|liebe[rs]?|sehr geehrte[rs]?)\b.{0,60}[,:!]?|[\w\x01\x02]+ -)$",
+    rf"^(?:{_GREETS}\b.{{0,60}}[,:!]?|[\w\x01\x02]+ -)$",
     re.I,
 )
 _BARE_GREETING = re.compile(r"^[^\W\d_]+(?: [^\W\d_]+){0,2}[,:!.]?$")
@@ -146,6 +147,55 @@ def take_apart(sentence: str) -> tuple[str, str]:
     return " ".join(words), "".join(kinds)
 
 
+HOLE = "H"
+# Words that need another one behind them, and such as cannot be it
+_GOVERN = frozenset("on at by for to of from in until with no em de do da para por até com no na en del con hasta von am um bis für mit im zum zur".split()) | _GREET
+_LINK = frozenset("and or but should will was were is are e ou mas y o pero deve será foi debe fue und oder aber soll wird war ist".split()) | (_GOVERN - _GREET)
+
+
+def holes(words: str, kinds: str) -> str:
+    """The kinds, with H for a blank (B) behind a word that needs another one and before one that cannot be it, or the end."""
+    if BLANK not in kinds or not words:
+        return kinds
+    w = words.split(" ")
+    return "".join(HOLE if k == BLANK and i and w[i - 1] in _GOVERN and (i == len(w) or w[i] in _LINK) else k for i, k in enumerate(kinds))
+
+
+# a field where a value has to stand: right after a greeting, or as all that follows a label
+_OPEN_GREETING = re.compile(rf"^{_GREETS}(?: [^\W\d_]+)? [\x01\x02] ?(?:[,:!.;]|$)", re.I)
+_OPEN_LABEL = re.compile(r"^[^\W\d_][\w ]{0,40}: ?\x01 ?[.,;]?$")
+_NO_FIELD = re.compile(r"\b[Xx]{3,}\b|#\w+")  # hidden digits and channels
+#: Marks that only template languages use.
+_STRONG = re.compile(rf"\{{\{{\{{? ?{_NAME} ?\}}\}}\}}?|\$\{{ ?{_NAME} ?\}}|<%=? ?{_NAME} ?%>|\[\[ ?{_NAME} ?\]\]|<< ?{_NAME} ?>>|\*\|{_NAME}\|\*|%%[A-Za-z_]+%%|@@{_NAME}@@")
+# What mails that speak about templates say
+_ABOUT = re.compile(r"template|placeholder|variable|merge|\bfields?\b|\btags?\b|syntax|modelo|vari[áa]ve[li]|\bcampos?\b|plantilla|marcador|vorlage|platzhalter|\bfeld(?:er)?\b", re.I)
+
+
+def open_fields(parts: list[tuple[str, bool, bool]]) -> list[bool]:
+    """Which sentences have an unfilled field whatever other records hold there.
+
+    That is a field right after a greeting, a field in a template language's
+    marks that is all that follows a label, or any such field of a text with
+    several of them. A text that speaks about templates or reports in the first
+    person has none, nor have code and a line that is announced by a colon.
+    """
+    out = [False] * len(parts)
+    if not any(any(m in s for m in (*_FIELD_MARKS, *_EMPTY_MARKS)) or _DOLLAR.search(s) for s, _, _ in parts):
+        return out
+    own = [s for s, code, _ in parts if not code]
+    if any(_ABOUT.search(t) or _REPORT.search(t) for t in (_EMPTY.sub(" ", _VARIABLE.sub(" ", s)) for s in own)):
+        return out
+    several = sum(len(_STRONG.findall(s)) for s in own) > 1
+    announced = False
+    for k, (s, code, _) in enumerate(parts):
+        if not code and not announced:
+            strong = _STRONG.search(s)
+            marked = "" if _NO_FIELD.search(s) else " ".join(_EMPTY.sub(" \x02 ", _VARIABLE.sub(" \x01 ", s)).split(" ")).replace("  ", " ")
+            out[k] = bool(strong and several or _OPEN_GREETING.match(marked) or strong and _OPEN_LABEL.match(marked))
+        announced = s.endswith(":") and not _GREETING.match(s)
+    return out
+
+
 _WORD = re.compile(r"[^\W\d_]+")
 _ROW_SETS = tuple(map(frozenset, _ROWS))
 # Common words whose letters all lie in one row

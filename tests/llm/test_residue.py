@@ -148,3 +148,17 @@ def test_hints_cover_the_labels():
     assert all(set(labels(sentences(t))) & set("SFL") for t in texts[:3] + texts[4:8])
     assert not is_filler("You were to try it, or we quote your property.")
     assert not T.hinted("The room is booked for the morning.", sentences("The room is booked for the morning."))
+
+
+def test_unfilled_majority(spark):
+    good = lambda i: mail(f"Dear Kaba,\n\nyour parcel {i} left on 01/0{1 + i % 9}/2025 and should reach Tili by noon.")
+    failed = mail("Dear {{name}},\n\nyour parcel {{id}} left on {{date}} and should reach {{to}} by noon.")
+    blank = mail("Dear Kaba,\n\nyour parcel left on and should reach Tili by noon.")
+    data = [(i, good(i)) for i in range(8)] + [(100 + i, failed) for i in range(40)] + [(200 + i, blank) for i in range(40)]
+    data += [(300, mail("Invoice: {{ invoice }}\n\nplease pay ${amount} before the end of the month.")), (301, mail("Hi [FIRST NAME],\n\nwelcome aboard."))]
+    # undefined is in the minority of its slot
+    data += [(310 + i, mail(f"the courier rings at {'undefined' if i else '9:30'} on the day.")) for i in range(5)]
+    data += [(400, mail("The mails still show {{name}} and {{id}} because the template was renamed.")), (401, mail("People saw this line:\n\nHola {{name}}:")), (402, mail("Room: #general")), (403, mail("Thanks for the quick answer."))]
+    data += [(410 + i, mail(f"We met {'Kaba ' if i else ''}for the answer about the table.")) for i in range(3)]  # too few to tell a hole
+    got = {r.doc_id for r in find_residue(spark.createDataFrame(data, "doc_id long, text string")).where("reason = 'unfilled'").collect()}
+    assert got == {*range(100, 140), *range(200, 240), 300, 301, *range(311, 315)}
