@@ -86,6 +86,15 @@ def groupby_first_last_nunique_prod(spark, d):
     return out.where("n < 20").drop("n")
 
 
+@query("""SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price, count(DISTINCT o_orderstatus) AS statuses,
+CAST(product(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS p FROM orders GROUP BY 1""")
+def groupby_first_last_nunique_prod_whole(spark, d):
+    """All orders and all groups; the factors are 1 and -1, so that no group overflows."""
+    o = table(spark, d, "orders").withColumn("f", F.when(c("o_orderkey") % 2 == 0, 1).otherwise(-1).cast("long"))
+    g = Groups(o, "o_custkey", ["o_orderkey"])
+    return g.df.groupBy("o_custkey").agg(stats.first(c("o_totalprice"), g.order).alias("first_price"), stats.last(c("o_totalprice"), g.order).alias("last_price"), stats.nunique(c("o_orderstatus")).alias("statuses"), stats.prod(c("f"), "int64").alias("p"))
+
+
 @query("SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 2) AS mean_price FROM orders")
 def groupby_transform_mean(spark, d):
     out = Groups(table(spark, d, "orders"), "o_orderpriority").transform("mean", "o_totalprice", "mean_price")
@@ -125,6 +134,12 @@ def join_left(spark, d):
     return out.select("c_custkey", "c_name", "o_orderkey")
 
 
+@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def join_left_whole(spark, d):
+    out = relational.join(table(spark, d, "customer"), table(spark, d, "orders"), ("c_custkey", "o_custkey"), "left")
+    return out.select("c_custkey", "c_name", "o_orderkey")
+
+
 @query("SELECT k, s.v AS v_right, n.v AS v_left FROM (SELECT CAST(s_nationkey AS BIGINT) AS k, s_name AS v FROM supplier) s LEFT JOIN (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_regionkey < 3) n USING (k)")
 def join_right_suffixes(spark, d):
     n = table(spark, d, "nation").where("n_regionkey < 3").select(c("n_nationkey").cast("long").alias("k"), c("n_name").alias("v"))
