@@ -18,6 +18,7 @@ from ..operators.quantiles import group_quantiles
 from ..session import shared_dir
 from ..sources.csv import infer_columns, read_csv, write_csv
 from ..sources.json import read_json, write_json
+from . import data
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -585,6 +586,12 @@ def dt_parse(spark, d):
     return rows.select("quote_id", dates.parse_moment_ms(s).alias("ms"))
 
 
+@query(data.moment_sql("cotacoes", "quote_id"))
+def dt_parse_whole(spark, d):
+    """Every row, whatever the spelling; null where the text is no moment."""
+    return table(spark, d, "cotacoes").select("quote_id", dates.parse_moment_ms(c("timestamp")).alias("ms"))
+
+
 @query("SELECT event_id, dense_rank() OVER (ORDER BY f) AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY event_type) AS f FROM events)")
 def categorical_codes(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type")

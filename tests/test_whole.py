@@ -15,3 +15,11 @@ def test_all_orders_are_grouped_and_joined(spark, tmp_path):
         assert (row.first_price, row.last_price, row.statuses, row.p) == (mine[0][2], mine[-1][2], len({o[3] for o in mine}), (-1) ** odd)
     joined = reference.QUERIES["join_left_whole"](spark, str(tmp_path))
     assert joined.where("o_orderkey is not null").count() == len(orders) and joined.where("o_orderkey is null").count() == 3
+
+
+def test_all_spellings_are_parsed(spark, tmp_path):
+    texts = {1: "2025-03-01T00:00:01Z", 2: "2025-03-01 00:00:01", 3: "01/03/2025 01:00:01+01:00", 4: "01-03-2025", 5: "soon", 6: None, 7: "2025/03/01T00:00:01.500-0000"}
+    spark.createDataFrame(list(texts.items()), "quote_id long, timestamp string").write.parquet(str(tmp_path / "cotacoes.parquet"))
+    day = 1740787200000
+    got = {r.quote_id: r.ms for r in reference.QUERIES["dt_parse_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: day + 1000, 2: day + 1000, 3: day + 1000, 4: day, 5: None, 6: None, 7: day + 1500}
