@@ -271,6 +271,18 @@ def test_profile(spark):
     assert profile_loads(df.limit(0), known).count() == 0
 
 
+def test_shift_of_rare_volumes(spark):
+    rng = random.Random(10)
+    data = []
+    for load in range(8):
+        for i in range(1000):
+            volume = int(1000 * rng.lognormvariate(0, 0.2)) * (8 if load == 4 else 1) if i % 100 == 0 else 0
+            data.append((load, 10.0, volume, f"A{rng.randrange(4)}"))
+    df = spark.createDataFrame(data, "load_id long, price double, volume long, asset string")
+    profile = materialize(profile_loads(df, spark.createDataFrame([(f"A{i}",) for i in range(4)], "asset string")))
+    assert rows(differing_loads(profile)) == [(4, "volume", "shift")]
+
+
 # moments
 
 
