@@ -33,10 +33,11 @@ def additive_outliers(x: np.ndarray, scale: float, phi: float, limit: float, lon
     `limit` scales from the level around it, and the readings just before and
     after it, and the levels before and after, in agreement; else the change is
     a level shift and stays. Found outliers are taken out and the test repeats
-    until nothing new is found. Without a scale nothing is flagged.
+    until nothing new is found. With a scale of 0 any departure that returns is
+    one; without a scale nothing is flagged.
     """
     flagged = np.zeros(len(x), bool)
-    if not np.isfinite(scale) or scale <= 0:
+    if not np.isfinite(scale) or scale < 0:
         return flagged
     alive = np.arange(len(x))
     while len(alive) > 2:
@@ -89,9 +90,9 @@ def flag_implausible(
     successive prices, rows sent again not counted; for volume: above
     `volume_times` the source's median of the volumes above zero), `stuck` (run
     of `stuck` or more equal values; zero volumes never). A row sent again (same
-    source, moment and price) is judged like its twin. A source whose median
-    step is 0 has no scale, hence no price spikes; with fewer than two prices
-    likewise. Rows with a null source, quote_id or ms are left out. An empty
+    source, moment and price) is judged like its twin. In a source whose median
+    step is 0 every price that leaves the level and returns is a spike; with fewer
+    than two prices there is none. Rows with a null source, quote_id or ms are left out. An empty
     table gives an empty result; extra columns are ignored.
 
     Scales and autoregression coefficients are statistics over all readings of

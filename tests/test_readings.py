@@ -72,6 +72,14 @@ def test_additive_outliers_against_brute_force():
     assert stuck_runs(np.array([1, 1, 1, 2, 2]), 3).tolist() == [True] * 3 + [False] * 2 and not len(stuck_runs(np.zeros(0), 3))
 
 
+def test_spikes_of_a_source_without_steps(spark):
+    x = np.ones(80)
+    x[20], x[30:32], x[45:50], x[60:] = 1.2, 0.9, 1.1, 1.5  # five in a row and the last level are no spikes
+    assert np.flatnonzero(additive_outliers(x, 0.0, 0.0, 25.0)).tolist() == [20, 30, 31]
+    df = spark.createDataFrame([("s", i, i * 60_000, float(v), None) for i, v in enumerate(x)], "source string, quote_id long, ms long, price double, volume long")
+    assert [q for q, r in rows(flag_implausible(df), "quote_id", "reasons") if "spike" in r] == [20, 30, 31]
+
+
 def _series(n, seed=5):
     rng = np.random.default_rng(seed)
     x = 50 * np.exp(np.cumsum(rng.normal(0, 0.002, n)))
