@@ -259,8 +259,15 @@ def merge(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def retract(states: DataFrame) -> DataFrame:
-    """The states negated: merged with others they take their rows out again. For states without counters (as sketch() gives)."""
-    return states.withColumn("counts", F.transform("counts", lambda c: -c))
+    """The states negated, pending updates and counters: merged with others they take their rows out again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("dense")
+            dense = pa.array([None if data is None else _pack(-_unpack(data)) for data in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], dense, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    return states.withColumn("counts", F.transform("counts", lambda c: -c)).mapInArrow(run, states.schema)
 
 
 def percentiles(states: DataFrame, keys: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

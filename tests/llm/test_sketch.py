@@ -59,3 +59,13 @@ def test_deletions(spark):
     assert row.n == len(keep) and max(rank_error(keep, p, v) for p, v in zip(P, row["values"])) < 0.01
     nothing = sketch(frame(drop), ["g"], ["v"]).unionByName(retract(sketch(frame(drop), ["g"], ["v"])))
     assert percentiles(merge(nothing, ["g"]), ["g"], P).count() == 0
+
+
+def test_deletions_of_merged_states(spark):
+    rng = np.random.default_rng(4)
+    keep, drop = rng.lognormal(3, 2, 12_000), rng.lognormal(9, 3, 30_000)
+    state = lambda x: merge(sketch(spark.createDataFrame([("a", float(v)) for v in x], "g string, v double"), ["g"], ["v"]), ["g"])
+    assert state(drop).first().dense is not None  # more than PENDING codes
+    row = percentiles(merge(state(np.r_[keep, drop]).unionByName(retract(state(drop))), ["g"]), ["g"], P).first()
+    assert row.n == len(keep) and max(rank_error(keep, p, v) for p, v in zip(P, row["values"])) < 0.01
+    assert percentiles(merge(state(drop).unionByName(retract(state(drop))), ["g"]), ["g"], P).count() == 0
