@@ -29,21 +29,33 @@ def parse_moment_ms(text: Column, dayfirst: bool = True) -> Column:
     offset the moment is UTC. Null, empty, blank-padded texts and impossible
     dates give NULL.
     """
-    # the common spelling goes straight to Spark's own parser; it takes offsets up to 17:59
-    usual = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T" + _CLOCK + r"(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])\z"
-    order = "$3-$2-$1" if dayfirst else "$3-$1-$2"
-    plain = F.regexp_replace(text, r"^([0-9]{4})/([0-9]{2})/", "$1-$2-")
-    plain = F.regexp_replace(plain, r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{4})", order)
-    zone = r"([+-])([0-9]{2}):?([0-9]{2})\z"
-    timed = plain.contains(":")
-    offset = F.when(timed & plain.rlike(zone), F.regexp_extract(plain, zone, 2).try_cast("int") * 60 + F.regexp_extract(plain, zone, 3).try_cast("int")).otherwise(F.lit(0))
-    offset = F.when(F.regexp_extract(plain, zone, 1) == "-", -offset).otherwise(offset)
-    utc = F.when(timed, F.concat(F.regexp_replace(plain, r"(?:Z|[+-][0-9]{2}:?[0-9]{2})\z", ""), F.lit("Z"))).otherwise(F.concat(plain, F.lit("T00:00:00Z")))
-    return F.when(text.rlike(usual), F.unix_millis(text.try_cast("timestamp"))).when(
-        text.rlike(rf"^{moment_pattern()}\z"), F.unix_millis(utc.try_cast("timestamp")) - offset.cast("long") * 60_000
+    # Spark's own parser reads the common spellings; it takes offsets up to 17:59 and needs one where the session's zone shall not count
+    near = r"[+-](?:0[0-9]|1[0-7]):?[0-5][0-9]"
+    iso_day = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    other_day = r"^(?:([0-9]{4})/([0-9]{2})/([0-9]{2})|([0-9]{1,2})([-/])([0-9]{1,2})\5([0-9]{4}))"
+    turned = "$1$7-$2$6-$3$4" if dayfirst else "$1$7-$2$4-$3$6"
+    iso_text = F.regexp_replace(text, other_day, turned)
+    read = lambda t: F.unix_millis(t.try_cast("timestamp"))
+    as_utc = lambda t: read(F.concat(t, F.lit("Z")))
+    return (
+        F.when(text.rlike(rf"{iso_day}[T ]{_CLOCK}(?:Z|{near})\z"), read(text))
+        .when(text.rlike(rf"{iso_day}[T ]{_CLOCK}\z"), as_utc(text))
+        .when(text.rlike(rf"{other_day}[T ]{_CLOCK}\z"), as_utc(iso_text))
+        .when(text.rlike(rf"{other_day}[T ]{_CLOCK}(?:Z|{near})\z"), read(iso_text))
+        .when(text.rlike(rf"^{moment_pattern()}\z"), _far_or_bare_ms(iso_text))
     )
 
 
+def _far_or_bare_ms(iso_text: Column) -> Column:
+    """Epoch milliseconds of a date alone, or of a moment with an offset of 18 hours and more, its date year first with dashes."""
+    zone = r"([+-])([0-9]{2}):?([0-9]{2})\z"
+    minutes = F.regexp_extract(iso_text, zone, 2).try_cast("int") * 60 + F.regexp_extract(iso_text, zone, 3).try_cast("int")
+    offset = F.when(F.regexp_extract(iso_text, zone, 1) == "-", -minutes).otherwise(minutes)
+    local = F.concat(F.regexp_replace(iso_text, zone, ""), F.lit("Z"))
+    bare = F.concat(iso_text, F.lit("T00:00:00Z"))
+    return F.when(iso_text.contains(":"), F.unix_millis(local.try_cast("timestamp")) - offset.cast("long") * 60_000).otherwise(F.unix_millis(bare.try_cast("timestamp")))
+
+
 # parts of a moment, as 64-bit numbers
 
 
