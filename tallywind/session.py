@@ -36,15 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again.
+def materialize(df: DataFrame, name: str = "step", **options: str) -> DataFrame:
+    """Write df as Parquet (with the writer's options) to the shared folder and read it again.
 
     Cuts the lineage: a lost executor costs a re-read, never the work before.
     The table is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
