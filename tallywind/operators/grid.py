@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Grid periods in a time shard. A shard is one task's window at most, however hot its source.
 SHARD_SLOTS = 8192
+#: Periods of a gap that are written out at once: a gap is never one array in memory, however long.
+GAP_BLOCK = 4096
 
 
 def _inner_slope(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:
@@ -38,7 +40,8 @@ def regular_grid(
     value per source) since 1970-01-01 UTC. Its value is the mean of its
     readings. Periods without a reading lie between two knots (periods with
     one): a gap of at most `max_fill` periods is filled by monotone cubic
-    interpolation (Fritsch-Carlson slopes), a longer one stays NULL.
+    interpolation (Fritsch-Carlson slopes), a longer one stays NULL and ends a
+    segment: values on its far side do not enter the curve on this side.
 
     Result: the source columns, `slot_epoch` (BIGINT seconds), `value`,
     `readings`, `status` (`observed`, `filled`, `gap`). Rows with a null source,
@@ -109,9 +112,9 @@ def regular_grid(
         F.col("n1.v").alias("v1"),
         (x("n1") - t).alias("h"),
         F.try_divide(F.col("n1.v") - F.col("v"), x("n1") - t).alias("d"),
-        (t - x("p1")).alias("hp"),
+        F.when(t - x("p1") <= max_fill + 1, t - x("p1")).alias("hp"),
         F.try_divide(F.col("v") - F.col("p1.v"), t - x("p1")).alias("dp"),
-        (x("n2") - x("n1")).alias("hn"),
+        F.when(x("n2") - x("n1") <= max_fill + 1, x("n2") - x("n1")).alias("hn"),
         F.try_divide(F.col("n2.v") - F.col("n1.v"), x("n2") - x("n1")).alias("dn"),
     )
     c = F.col
@@ -119,7 +122,9 @@ def regular_grid(
     m1 = F.when(c("hn").isNotNull(), _inner_slope(c("h"), c("hn"), c("d"), c("dn"))).when(c("hp").isNotNull(), _end_slope(c("h"), c("hp"), c("d"), c("dp"))).otherwise(c("d"))
     need = c("missing").between(1, max_fill)
     span = span.select(*keys, "step", "slot", "v", "v1", "n", "missing", "h", F.when(need, m0).alias("m0"), F.when(need, m1).alias("m1"))
-    rows = span.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("missing", F.lit(0).cast("long")))).alias("i"))
+    zero = F.lit(0).cast("long")
+    blocks = span.select("*", F.explode(F.sequence(zero, F.coalesce("missing", zero), F.lit(GAP_BLOCK).cast("long"))).alias("__b"))
+    rows = blocks.select("*", F.explode(F.sequence(c("__b"), F.least(c("__b") + (GAP_BLOCK - 1), F.coalesce("missing", zero)))).alias("i"))
     u = c("i") / c("h")
     cubic = (
         (2 * u * u * u - 3 * u * u + 1) * c("v")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallywind.functions.dates import parse_moment_ms
 from tallywind.operators.anomalies import additive_outliers, flag_implausible, stuck_runs
 from tallywind.operators.grid import regular_grid
+from tallywind.operators.parts import store_parts
 from tallywind.operators.profile import auc, differing_loads, fit_logistic, profile_loads
 from tallywind.operators.quantiles import group_quantiles
 from tallywind.operators.rowparse import Field, parse_rows
@@ -308,3 +309,89 @@ def test_moments(spark):
     got = [r[0] for r in df.select(parse_moment_ms(F.col("t"))).collect()]
     assert got == [*cases.values(), *[None] * len(bad)]
     assert spark.createDataFrame([("1/2/2026",)], "t string").select(parse_moment_ms(F.col("t"), dayfirst=False)).first()[0] == 1767312000000
+
+
+def brute_grid(known, max_fill=12):
+    """Monotone cubic values of the missing periods between the knots {slot: value}, segment by segment."""
+    slots = sorted(known)
+    out = {}
+    segments, run = [], [slots[0]]
+    for a, b in zip(slots, slots[1:]):
+        if b - a - 1 > max_fill:
+            segments.append(run)
+            run = []
+        run.append(b)
+    segments.append(run)
+    for s in segments:
+        h = np.diff(s).astype(float)
+        d = np.diff([known[t] for t in s]) / h if len(s) > 1 else np.zeros(0)
+        m = np.zeros(len(s))
+        for k in range(len(s)):
+            if len(s) == 1:
+                break
+            if len(s) == 2:
+                m[k] = d[0]
+            elif 0 < k < len(s) - 1:
+                w0, w1 = 2 * h[k] + h[k - 1], h[k] + 2 * h[k - 1]
+                m[k] = 0.0 if d[k - 1] * d[k] <= 0 else (w0 + w1) / (w0 / d[k - 1] + w1 / d[k])
+            else:
+                h0, h1, d0, d1 = (h[0], h[1], d[0], d[1]) if k == 0 else (h[-1], h[-2], d[-1], d[-2])
+                e = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
+                m[k] = 0.0 if e * d0 <= 0 else 3 * d0 if d0 * d1 <= 0 and abs(e) > 3 * abs(d0) else e
+        for k in range(len(s) - 1):
+            for t in range(s[k] + 1, s[k + 1]):
+                u = (t - s[k]) / h[k]
+                out[t] = (2 * u**3 - 3 * u**2 + 1) * known[s[k]] + (u**3 - 2 * u**2 + u) * h[k] * m[k] + (3 * u**2 - 2 * u**3) * known[s[k + 1]] + (u**3 - u**2) * h[k] * m[k + 1]
+    return out
+
+
+def test_grid_values_against_brute_force(spark):
+    rng = random.Random(12)
+    known, t = {}, 0
+    for _ in range(250):
+        t += rng.choice([1, 1, 2, 3, 5, 12, 13, 14, 30])
+        known[t] = rng.choice([1.0, 2.0, rng.random() * 10])
+    df = spark.createDataFrame([("a", t * 60_000, v, 1) for t, v in known.items()], "s string, ms long, v double, step long")
+    want = brute_grid(known)
+    for slots in (8192, 7):
+        got = {r.slot_epoch // 60: r.value for r in regular_grid(df, ["s"], "ms", "v", "step", shard_slots=slots).collect() if r.status == "filled"}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_values_beyond_a_gap_do_not_matter(spark):
+    near = [("a", t * 60_000, v, 1) for t, v in ((100, 10.0), (103, 15.0), (105, 16.0))]
+    far = [("a", t * 60_000, v, 1) for t, v in ((0, 900.0), (205, -500.0))]
+    schema = "s string, ms long, v double, step long"
+    alone = {r.slot_epoch: r.value for r in regular_grid(spark.createDataFrame(near, schema), ["s"], "ms", "v", "step").collect()}
+    beside = {r.slot_epoch: r.value for r in regular_grid(spark.createDataFrame(near + far, schema), ["s"], "ms", "v", "step").collect()}
+    assert len(alone) == 6 and all(beside[k] == v for k, v in alone.items())
+
+
+def test_a_very_long_gap(spark):
+    far = 10**7
+    df = spark.createDataFrame([("a", 0, 1.0, 1), ("a", far * 60_000, 2.0, 1)], "s string, ms long, v double, step long")
+    assert regular_grid(df, ["s"], "ms", "v", "step").groupBy("status").count().collect() != [] and regular_grid(df, ["s"], "ms", "v", "step").where("status = 'gap'").count() == far - 1
+
+
+def test_a_busy_hour_is_spread_over_parts(spark):
+    p, v = _series(3000, 8)
+    p[700] *= 3
+    p[1500:1502] = [p[1500] * 0.2] * 2
+    for i in range(2390, 2412):
+        p[i] = p[2390]
+    for i in range(880, 910):
+        v[i] = 77
+    data = [("hot", i, 3_600_000 * 5 + i * 500, p[i], v[i]) for i in range(3000)] + [("cold", 9000 + i, i * 3_600_000, 1.0 + i % 3 * 0.01, None) for i in range(40)]
+    df = spark.createDataFrame(data, "source string, quote_id long, ms long, price double, volume long")
+    whole = rows(flag_implausible(df), "source", "quote_id", "field", "reasons")
+    assert {(q, f) for _, q, f, _ in whole} >= {(700, "price"), (1500, "price"), (1501, "price")} | {(i, "price") for i in range(2390, 2412)} | {(i, "volume") for i in range(880, 910)}
+    for size in (70, 150, 400):  # parts with less than one edge's reach, with little more, with an inside
+        assert rows(flag_implausible(df, shard_rows=size), "source", "quote_id", "field", "reasons") == whole
+
+
+def test_parts_are_whole_and_even(spark):
+    df = materialize(spark.createDataFrame([("x", i // 3) for i in range(6000)] + [("y", 5)], "k string, t long"))
+    parts = store_parts(df, ["k", "t"], 1000)
+    sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    assert sum(sizes) == 6001 and len(sizes) == 7 and max(sizes) < 2500
+    assert parts.groupBy("k", "t").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
