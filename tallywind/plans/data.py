@@ -94,7 +94,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile_loads(table(spark, d, "cotacoes"), table(spark, d, "ativos"))
+    return profile_loads(table(spark, d, "cotacoes"), table(spark, d, "ativos"), key=["quote_id"])
 
 
 def p6_aggregates(spark: SparkSession, d: str) -> DataFrame:

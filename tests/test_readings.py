@@ -12,7 +12,7 @@ from tallywind.functions.dates import parse_moment_ms
 from tallywind.operators.anomalies import additive_outliers, flag_implausible, stuck_runs
 from tallywind.operators.grid import regular_grid
 from tallywind.operators.parts import store_parts
-from tallywind.operators.profile import auc, differing_loads, fit_logistic, profile_loads
+from tallywind.operators.profile import additive_score, auc, differing_loads, fit_additive, fit_logistic, profile_loads
 from tallywind.operators.quantiles import group_quantiles
 from tallywind.operators.rowparse import Field, parse_rows
 from tallywind.operators.shards import time_shards
@@ -395,3 +395,23 @@ def test_parts_are_whole_and_even(spark):
     sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
     assert sum(sizes) == 6001 and len(sizes) == 7 and max(sizes) < 2500
     assert parts.groupBy("k", "t").agg(F.count_distinct("part").alias("n")).where("n > 1").count() == 0
+
+
+def test_additive_regression_is_the_logistic_one():
+    rng = np.random.default_rng(4)
+    codes, widths = rng.integers(0, [[3], [4]], (2, 60)), [3, 4]
+    positive, negative = rng.integers(0, 9, 60).astype(float), rng.integers(0, 9, 60).astype(float)
+    design = np.hstack([np.ones((60, 1)), np.eye(3)[codes[0]], np.eye(4)[codes[1]]])
+    beta = fit_logistic(design, positive, negative)
+    assert additive_score(*fit_additive(codes, widths, positive, negative), codes) == pytest.approx(design @ beta, abs=1e-6)
+
+
+def test_profile_sees_another_mix_of_known_assets(spark):
+    rng = random.Random(13)
+    data = [(load, 10.0, 100, f"A{rng.randrange(8) if load != 3 or rng.random() < 0.2 else rng.randrange(2)}") for load in range(6) for _ in range(500)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, load_id long, price double, volume long, asset string")
+    known = spark.createDataFrame([(f"A{i}",) for i in range(8)], "asset string")
+    by = {r.load_id: r for r in profile_loads(df, known).collect()}
+    assert by[3].asset_alone > 0.7 and by[3].asset_drop > 0.1 and all(by[k].asset_alone < 0.62 for k in by if k != 3)
+    again = {r.load_id: r.auc for r in profile_loads(df.repartition(7, "price", "asset"), known).collect()}
+    assert again == pytest.approx({k: r.auc for k, r in by.items()}, abs=1e-9)
