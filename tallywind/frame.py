@@ -22,13 +22,18 @@ from .types import NUMERIC, SPARK, convert, dtype_of, infer
 class Frame:
     """Named columns of one length, in a row order that is part of the data.
 
-    Wraps a DataFrame with the hidden position `__pos`. Row functions stay lazy
-    Spark expressions; positional ones work in blocks (operators.ordered), so
-    that no window spans the whole table in one task. Methods return new frames.
+    Wraps a DataFrame. Its order is a list of hidden key columns until something
+    asks for positions, then the hidden position `__pos`: rows that are only
+    filtered, computed, grouped or joined are never numbered, so filters and
+    columns reach the scan. Row functions stay lazy Spark expressions;
+    positional ones work in blocks (operators.ordered), so that no window spans
+    the whole table in one task. Methods return new frames.
     """
 
-    def __init__(self, df: DataFrame, dtypes: Mapping[str, str], dense: bool = True) -> None:
-        self.df, self.dtypes = df, dict(dtypes)
+    def __init__(self, df: DataFrame, dtypes: Mapping[str, str], dense: bool = True, keys: Sequence[tuple[str, bool]] = ()) -> None:
+        self._table, self.dtypes = df, dict(dtypes)
+        self._keys = list(keys)  # (hidden column, ascending) of a frame without positions
+        self._pending: list[tuple] = []  # window and running columns asked for, computed together when a result is
         self._dense = dense
         self._count = 0
         self._heavy = False
@@ -37,10 +42,20 @@ class Frame:
 
     @classmethod
     def of(cls, df: DataFrame, order: Sequence[str]) -> Frame:
-        """A DataFrame in the order of its columns `order`; integers become int64, dates and timestamps datetime."""
+        """A DataFrame in the order of its columns `order`; integers become int64, dates and timestamps datetime.
+
+        The order should tell rows apart; equal keys follow in the order of a hash of their rows.
+        """
         kinds = {f.name: dtype_of(f) for f in df.schema.fields}
         plain = df.select(*[F.col(n).cast(SPARK[k]).alias(n) if k in SPARK else F.col(n) for n, k in kinds.items()])
-        return cls(ordered.number_rows(plain, order), kinds)
+        return cls._ordered(plain, order, kinds)
+
+    @classmethod
+    def _ordered(cls, df: DataFrame, order: Sequence[str | Column | tuple[Column, bool]], kinds: Mapping[str, str]) -> Frame:
+        """The `kinds` columns of df in an order of columns, or (column, ascending); not numbered yet."""
+        keys = [o if isinstance(o, tuple) else (F.col(o) if isinstance(o, str) else o, True) for o in order]
+        names = [f"__o{i}" for i in range(len(keys))]
+        return cls(df.select(*[c.alias(n) for n, (c, _) in zip(names, keys)], *kinds), kinds, keys=[(n, asc) for n, (_, asc) in zip(names, keys)])
 
     @classmethod
     def from_columns(cls, columns: Sequence[tuple], spark: SparkSession | None = None) -> Frame:
@@ -80,35 +95,63 @@ class Frame:
     def columns(self) -> list[str]:
         return list(self.dtypes)
 
+    @property
+    def _df(self) -> DataFrame:
+        """The DataFrame with all columns that were asked for; with positions only if it is numbered."""
+        if self._pending:
+            self._compute()
+        return self._table
+
+    @_df.setter
+    def _df(self, df: DataFrame) -> None:
+        self._table = df
+
+    @property
+    def df(self) -> DataFrame:
+        """The DataFrame with positions; numbers the rows if that was not done yet."""
+        if self._keys:
+            rows = ordered.number_rows(self._df, [F.col(n) if asc else F.col(n).desc() for n, asc in self._keys])
+            self._df, self._keys, self._dense = rows.drop(*[n for n, _ in self._keys]), [], True
+        return self._df
+
+    @df.setter
+    def df(self, df: DataFrame) -> None:
+        self._df = df
+
+    @property
+    def place(self) -> list[str]:
+        """The hidden columns that hold the order: the position, or the keys of a frame without one."""
+        return [n for n, _ in self._keys] or [POS]
+
+    def _order(self, reverse: bool = False) -> list[Column]:
+        return [F.col(n) if asc != reverse else F.col(n).desc() for n, asc in self._keys or [(POS, True)]]
+
     def _visible(self, df: DataFrame) -> DataFrame:
         return df.select(POS, *self.columns)
 
+    def rows(self) -> DataFrame:
+        """The visible columns and the order's, whether numbered or not."""
+        return self._df.select(*self.place, *self.columns)
+
     def _next(self, df: DataFrame, dtypes: Mapping[str, str] | None = None, dense: bool = True) -> Frame:
-        out = Frame(df, dtypes or self.dtypes, dense)
-        out._heavy = self._heavy
+        """A frame of a DataFrame that still holds this one's order."""
+        out = Frame(df, dtypes or self.dtypes, dense, self._keys)
+        out._heavy, out._count = self._heavy, self._count
         return out
 
-    def _renumbered(self, df: DataFrame, order: Sequence[str | Column], dtypes: Mapping[str, str]) -> Frame:
-        """A frame of the rows of df in a new order."""
-        return Frame(ordered.number_rows(df.select(*dtypes, *[o for o in order if isinstance(o, str) and o not in dtypes]), order).select(POS, *dtypes), dtypes)
-
     def numbered(self) -> DataFrame:
         """The DataFrame with dense positions."""
+        df = self.df
         if not self._dense:
-            rest = self.df.withColumnRenamed(POS, "__old")
-            self.df = ordered.number_rows(rest, ["__old"]).drop("__old")
+            rest = df.withColumnRenamed(POS, "__old")
+            self._df = df = ordered.number_rows(rest, ["__old"], ties=False).drop("__old")
             self._dense = True
-        return self.df
+        return df
 
     def _hidden(self) -> str:
         self._count += 1
         return f"__h{self._count}"
 
-    @property
-    def slot(self) -> Column:
-        """The column that window functions of windowed() see."""
-        return F.col("__slot")
-
     def _stored(self) -> DataFrame:
         """The numbered DataFrame, written out if an earlier running function is in its plan: those read their input twice, and plans would double."""
         df = self.numbered()
@@ -117,18 +160,36 @@ class Frame:
         self._heavy = True
         return df
 
-    def windowed(self, x: Column, reach: int, f: Callable[[Any], Column], ahead: int = 0) -> Column:
-        """A hidden column: f of a window over x (as `slot`) that reaches so many rows back and ahead."""
+    def _ask(self, kind: str, x: Column, *how: Any) -> Column:
+        """A hidden column that is computed later, together with the others of its kind."""
+        if self._keys or not self._dense:
+            self.numbered()
+        if any(p[1] in str(x) for p in self._pending):
+            self._compute()  # x builds on one of them
         name = self._hidden()
-        df = self.numbered().withColumn("__slot", x)
-        self.df = ordered.reach_back(df, reach, {name: f}, ahead).drop("__slot")
+        self._pending.append((kind, name, x, *how))
         return F.col(name)
 
+    def _compute(self) -> None:
+        pending, self._pending = self._pending, []
+        slots = {name: F.col(f"__s{name}") for _, name, *_ in pending}
+        windows = [p for p in pending if p[0] == "window"]
+        if windows:
+            df = self._table.withColumns({f"__s{name}": x for _, name, x, *_ in windows})
+            outputs = {name: (lambda w, f=f, s=slots[name]: f(w, s)) for _, name, _, f, _, _ in windows}
+            self._table = ordered.reach_back(df, max(p[4] for p in windows), outputs, max(p[5] for p in windows)).drop(*[f"__s{name}" for _, name, *_ in windows])
+        for backwards in (False, True):
+            running = [p for p in pending if p[0] == "running" and p[4] == backwards]
+            if running:
+                df = self._stored().withColumns({f"__s{name}": x for _, name, x, *_ in running})
+                self._table = ordered.running(df, {name: how(slots[name]) for _, name, _, how, _ in running}, backwards).drop(*[f"__s{name}" for _, name, *_ in running])
+
+    def windowed(self, x: Column, reach: int, f: Callable[[Any, Column], Column], ahead: int = 0) -> Column:
+        """A hidden column: f of a window and of x that reaches so many rows back and ahead."""
+        return self._ask("window", x, f, reach, ahead)
+
     def running(self, x: Column, how: Callable[[Column], ordered.Running], backwards: bool = False) -> Column:
-        name = self._hidden()
-        df = self._stored().withColumn("__slot", x)
-        self.df = ordered.running(df, {name: how(self.slot)}, backwards).drop("__slot")
-        return F.col(name)
+        return self._ask("running", x, how, backwards)
 
     def ranked(self, x: Column, method: str) -> Column:
         name = self._hidden()
@@ -139,7 +200,7 @@ class Frame:
     def looked_up(self, x: Column, table: DataFrame, key: str, value: str) -> Column:
         name = self._hidden()
         small = table.select(F.col(key).alias("__key"), F.col(value).alias(name))
-        self.df = self.df.withColumn("__slot", x).join(small, F.col("__slot") == F.col("__key"), "left").drop("__slot", "__key")
+        self.df = self._df.withColumn("__slot", x).join(small, F.col("__slot") == F.col("__key"), "left").drop("__slot", "__key")
         return F.col(name)
 
     def align(self, other: Series) -> Column:
@@ -152,15 +213,21 @@ class Frame:
         return F.col(name)
 
     def where(self, cond: Column) -> Frame:
-        return self._next(self.df.where(cond), dense=False)
+        return self._next(self._df.where(cond), dense=False)
 
     def select_expression(self, s: Series) -> Series:
-        return self._next(self.df.select(POS, s.col.alias(s.name)), {s.name: s.dtype}, self._dense)[s.name]
+        return self._next(self._df.select(*self.place, s.col.alias(s.name)), {s.name: s.dtype}, self._dense)[s.name]
+
+    def ascending(self) -> Frame:
+        """This frame, numbered where its order has descending keys: what takes an order as columns needs ascending ones."""
+        if not all(asc for _, asc in self._keys):
+            self.df  # noqa: B018  numbers the rows
+        return self
 
     # metadata and cells
 
     def __len__(self) -> int:
-        return self.df.count()
+        return self._df.count()
 
     nrows = property(__len__)
 
@@ -182,7 +249,7 @@ class Frame:
         return self.filter(key) if isinstance(key, Series) else self.column(key)
 
     def clone(self) -> Frame:
-        return self._next(self.df, dense=self._dense)
+        return self._next(self._df, dense=self._dense)
 
     def row(self, i: int, na: Any = None) -> dict[str, Any]:
         got = self.numbered().where(F.col(POS) == i).select(*self.columns).first()
@@ -196,9 +263,9 @@ class Frame:
     def iat(self, i: int, j: int) -> Any:
         return self.column(self.columns[j - 1]).get(i)
 
-    def to_dataframe(self) -> DataFrame:
-        """The rows as a DataFrame, in order."""
-        return self.df.orderBy(POS).select(*self.columns)
+    def to_dataframe(self, in_order: bool = True) -> DataFrame:
+        """The rows as a DataFrame, sorted by the frame's order unless that does not matter."""
+        return (self._df.orderBy(*self._order()) if in_order else self._df).select(*self.columns)
 
     def to_table(self, na: Any = None) -> list[dict[str, Any]]:
         return self.to_dict("records", na)
@@ -231,7 +298,7 @@ class Frame:
             self.column(n)
         if len(set(names)) < len(names):
             raise ValueError("a column named twice")
-        return self._next(self.df.select(POS, *names), {n: self.dtypes[n] for n in names}, self._dense)
+        return self._next(self._df.select(*self.place, *names), {n: self.dtypes[n] for n in names}, self._dense)
 
     def assign(self, name: str, value: Any) -> Frame:
         """With a column replaced or added: a Series, a function of the frame, or one value for all rows."""
@@ -243,7 +310,13 @@ class Frame:
         else:
             kind = infer([value])
             x = F.lit(value).cast(SPARK[kind])
-        return self._next(self.df.withColumn(name, x), {**self.dtypes, name: kind}, self._dense)
+        return self._next(self._df.withColumn(name, x), {**self.dtypes, name: kind}, self._dense)
+
+    def with_columns(self, values: Mapping[str, Series]) -> Frame:
+        """With several columns at once; window and running ones of this frame are computed in one pass of their kind."""
+        columns = {n: s.col if s.frame is self else self.align(s) for n, s in values.items()}
+        out = self._next(self._df.withColumns(columns), {**self.dtypes, **{n: s.dtype for n, s in values.items()}}, self._dense)
+        return out._next(out.rows(), dense=out._dense)
 
     def add_column(self, name: str, value: Any) -> Frame:
         if name in self.dtypes:
@@ -270,7 +343,7 @@ class Frame:
         after = [names.get(c, c) for c in self.columns]
         if len(set(after)) < len(after):
             raise ValueError("two columns of one name")
-        return self._next(self._visible(self.df).toDF(POS, *after), dict(zip(after, self.dtypes.values())), self._dense)
+        return self._next(self.rows().toDF(*self.place, *after), dict(zip(after, self.dtypes.values())), self._dense)
 
     def rename_column(self, old: str, new: str) -> Frame:
         return self.rename({old: new})
@@ -288,7 +361,7 @@ class Frame:
                 raise TypeMismatch(f"column {n!r} is {k}")
         base = self.clone()
         done = {n: f(base.column(n)) for n in base.columns}
-        return Frame(base.df.select(POS, *[s.col.alias(n) for n, s in done.items()]), {n: s.dtype for n, s in done.items()}, base._dense)
+        return base._next(base._df.select(*base.place, *[s.col.alias(n) for n, s in done.items()]), {n: s.dtype for n, s in done.items()}, base._dense)
 
     def abs(self) -> Frame:
         return self.map_columns(Series.abs)
@@ -352,15 +425,15 @@ class Frame:
         n = len(self)
         if any(not 1 <= i <= n for i in positions):
             raise IndexError("position out of range")
-        index = self.df.sparkSession.createDataFrame([(k + 1, i) for k, i in enumerate(positions)], "__new long, __at long")
+        index = self._df.sparkSession.createDataFrame([(k + 1, i) for k, i in enumerate(positions)], "__new long, __at long")
         df = self.numbered().select(*self.columns, F.col(POS).alias("__at")).join(index, "__at").withColumnRenamed("__new", POS)
         return self._next(df.select(POS, *self.columns))
 
     def head(self, n: int = 5) -> Frame:
-        return self._next(self._visible(self.df).orderBy(POS).limit(n), dense=self._dense)
+        return self._next(self.rows().orderBy(*self._order()).limit(n), dense=self._dense)
 
     def tail(self, n: int = 5) -> Frame:
-        return self._next(self._visible(self.df).orderBy(F.desc(POS)).limit(n), dense=False)
+        return self._next(self.rows().orderBy(*self._order(True)).limit(n), dense=False)
 
     def iloc(self, start: int, stop: int) -> Frame:
         n = len(self)
@@ -373,7 +446,7 @@ class Frame:
         if n > len(self):
             raise ValueError("more rows asked for than there are")
         drawn = self._visible(self.numbered()).withColumn("__r", F.xxhash64(F.lit(seed), F.col(POS))).orderBy("__r").limit(n)
-        return self._renumbered(drawn.drop(POS), ["__r"], self.dtypes)
+        return self._ordered(drawn, ["__r"], self.dtypes)
 
     def dropna(self, subset: Sequence[str] | None = None) -> Frame:
         """Rows without an absent value in the subset; NaN stays."""
@@ -386,10 +459,10 @@ class Frame:
         """By one column; an absent value or NaN in it is an error. Equal values keep their order."""
         x = self.column(name).col
         bad = x.isNull() | F.isnan(x) if self.dtypes[name] == "float64" else x.isNull()
-        if self.df.where(bad).limit(1).count():
+        if self._df.where(bad).limit(1).count():
             raise ValueError(f"column {name!r} has absent values or NaN")
-        df = self._visible(self.df).withColumnRenamed(POS, "__old")
-        return Frame(ordered.number_rows(df, [x if asc else x.desc(), F.col("__old")]).select(POS, *self.columns), self.dtypes)
+        place = [(F.col(n), up) for n, up in self._keys] or [(F.col(POS), True)]
+        return self._ordered(self._df, [(x, asc), *place], self.dtypes)
 
     def duplicated(self, subset: Sequence[str] | None = None, keep: str = "first") -> Series:
         df = relational.duplicated(self._visible(self.df), [POS], subset, keep)
@@ -407,34 +480,38 @@ class Frame:
         df = parts[0]
         for p in parts[1:]:
             df = df.unionByName(p)
-        return Frame(ordered.number_rows(df.withColumnRenamed(POS, "__old"), ["__part", "__old"]).select(POS, *self.columns), self.dtypes)
+        return self._ordered(df, ["__part", POS], self.dtypes)
 
     def join(self, other: Frame, on: str | Sequence[str] | None = None, how: str = "inner", suffixes: tuple[str, str] = ("_left", "_right"), left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None) -> Frame:
-        a = self._visible(self.df).withColumnRenamed(POS, "__l")
-        b = other._visible(other.df).withColumnRenamed(POS, "__r")
+        a = self.rows().withColumnsRenamed({n: f"__l{i}" for i, n in enumerate(self.place)})
+        b = other.rows().withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(other.place)})
+        for f, names in zip((self, other), relational.key_names(on, left_on, right_on)):
+            groups.require_keys(f._df, [n for n in names if n in f.dtypes])
         df = relational.join(a, b, on, how, suffixes, left_on, right_on)
-        order = [F.col(c).asc_nulls_last() for c in (("__r", "__l") if how == "right" else ("__l", "__r"))]
-        kinds = {f.name: dtype_of(f) for f in df.schema.fields if f.name not in ("__l", "__r")}
-        return Frame(ordered.number_rows(df, order).select(POS, *kinds), kinds)
+        mine, theirs = [[(f"__{side}{i}", asc) for i, (_, asc) in enumerate(f._keys or [(POS, True)])] for side, f in (("l", self), ("r", other))]
+        order = []
+        for n, asc in [*theirs, *mine] if how == "right" else [*mine, *theirs]:
+            order += [F.col(n).isNull(), (F.col(n), asc)]  # rows without a partner last
+        kinds = {f.name: dtype_of(f) for f in df.schema.fields if f.name not in {n for n, _ in [*mine, *theirs]}}
+        return self._ordered(df, order, kinds)
 
     def groupby(self, keys: str | Sequence[str]) -> GroupBy:
         names = [keys] if isinstance(keys, str) else list(keys)
         for n in names:
             self.column(n)
-        groups.require_keys(self.df, names)
+        groups.require_keys(self._df, names)
         return GroupBy(self, names)
 
     def _shaped(self, df: DataFrame, order: Sequence[str]) -> Frame:
-        kinds = {f.name: dtype_of(f) for f in df.schema.fields}
-        return Frame(ordered.number_rows(df, order), kinds)
+        return self._ordered(df, order, {f.name: dtype_of(f) for f in df.schema.fields})
 
     def pivot(self, index: str, columns: str, values: str) -> Frame:
-        groups.require_keys(self.df, [index, columns])
-        return self._shaped(relational.pivot(self._visible(self.df), index, columns, values, [POS]), [index])
+        groups.require_keys(self._df, [index, columns])
+        return self._shaped(relational.pivot(self.rows(), index, columns, values, self.ascending().place), [index])
 
     def pivot_table(self, index: str, columns: str, values: str, aggfunc: str = "sum") -> Frame:
-        groups.require_keys(self.df, [index, columns])
-        return self._shaped(relational.pivot_table(self._visible(self.df), index, columns, values, aggfunc, [POS]), [index])
+        groups.require_keys(self._df, [index, columns])
+        return self._shaped(relational.pivot_table(self.rows(), index, columns, values, aggfunc, self.ascending().place), [index])
 
     def unstack(self, index: str, column: str, values: str) -> Frame:
         return self.pivot_table(index, column, values, "first")
@@ -442,18 +519,18 @@ class Frame:
     def melt(self, id_vars: Sequence[str], value_vars: Sequence[str] | None = None, var_name: str = "variable", value_name: str = "value") -> Frame:
         """All rows of the first value column, then of the second, ..."""
         values = list(value_vars) if value_vars is not None else [c for c in self.columns if c not in id_vars]
-        df = relational.melt(self._visible(self.df), [POS, *id_vars], values, var_name, value_name).withColumnRenamed(POS, "__old")
+        df = relational.melt(self.rows(), [*self.place, *id_vars], values, var_name, value_name)
         place = F.array_position(F.array(*[F.lit(v) for v in values]), F.col(var_name))
-        kinds = {f.name: dtype_of(f) for f in df.schema.fields if f.name != "__old"}
-        return Frame(ordered.number_rows(df, [place, F.col("__old")]).select(POS, *kinds), kinds)
+        kinds = {f.name: dtype_of(f) for f in df.schema.fields if f.name not in self.place}
+        return self._ordered(df, [place, *[(F.col(n), asc) for n, asc in self._keys or [(POS, True)]]], kinds)
 
     def stack(self, names: Sequence[str], var_name: str = "variable", value_name: str = "value") -> Frame:
         return self.melt([c for c in self.columns if c not in names], names, var_name, value_name)
 
     def explode(self, name: str) -> Frame:
-        df = self._visible(self.df).select("*", F.posexplode_outer(name).alias("__i", "__v")).drop(name).withColumnRenamed("__v", name).withColumnRenamed(POS, "__old")
+        df = self.rows().select("*", F.posexplode_outer(name).alias("__i", "__v")).drop(name).withColumnRenamed("__v", name)
         kinds = {n: dtype_of(df.schema[n]) for n in self.columns}
-        return Frame(ordered.number_rows(df, ["__old", "__i"]).select(POS, *kinds), kinds)
+        return self._ordered(df, [*[(F.col(n), asc) for n, asc in self._keys or [(POS, True)]], "__i"], kinds)
 
     def equals(self, other: Frame) -> bool:
         return self.dtypes == other.dtypes and relational.equals(self._visible(self.numbered()), other._visible(other.numbered()), POS)
@@ -462,7 +539,7 @@ class Frame:
         df = relational.compare(self._visible(self.numbered()), other._visible(other.numbered()), POS).withColumnRenamed(POS, "row")
         place = F.array_position(F.array(*[F.lit(c) for c in self.columns]), F.col("column"))
         kinds = {"row": "int64", "column": "string", "self": "string", "other": "string"}
-        return Frame(ordered.number_rows(df, [place, F.col("row")]).select(POS, *kinds), kinds)
+        return self._ordered(df, [place, "row"], kinds)
 
     # reductions
 
@@ -474,7 +551,7 @@ class Frame:
 
     def _reduce(self, f: Callable[[Column, str], Column]) -> Frame:
         names = self._numeric()
-        df = self.df.agg(*[f(F.col(n), self.dtypes[n]).alias(n) for n in names])
+        df = self._df.agg(*[f(F.col(n), self.dtypes[n]).alias(n) for n in names])
         return Frame(df.withColumn(POS, F.lit(1).cast("long")), {n: dtype_of(df.schema[n]) for n in names})
 
     def sum(self) -> Frame:
@@ -502,7 +579,9 @@ class Frame:
         return self.quantile(0.5)
 
     def quantile(self, q: float) -> Frame:
-        return self._reduce(lambda x, k: stats.quantile(x, q))
+        """Exact, whatever the number of rows; one row."""
+        values = {n: self.column(n).quantile(q) for n in self._numeric()}
+        return Frame.from_columns([(n, [v], "float64") for n, v in values.items()], self._df.sparkSession)
 
     def skew(self) -> Frame:
         return self._reduce(lambda x, k: stats.skew(x))
@@ -515,13 +594,13 @@ class Frame:
 
     def mad(self) -> Frame:
         values = {n: self.column(n).mad() for n in self._numeric()}
-        return Frame.from_columns([(n, [v], "float64") for n, v in values.items()], self.df.sparkSession)
+        return Frame.from_columns([(n, [v], "float64") for n, v in values.items()], self._df.sparkSession)
 
     def count_nonnull(self) -> Frame:
         return self._reduce(lambda x, k: F.count(x))
 
     def nunique(self) -> dict[str, int]:
-        return self.df.agg(*[F.count_distinct(n).alias(n) for n in self.columns]).first().asDict()
+        return self._df.agg(*[F.count_distinct(n).alias(n) for n in self.columns]).first().asDict()
 
     def describe(self) -> dict[str, dict[str, Any]]:
         return {n: self.column(n).describe() for n in self.columns}
@@ -534,7 +613,7 @@ class Frame:
 
     def _matrix(self, kind: str) -> Frame:
         names = self._numeric()
-        df = stats.matrix(self.df, names, kind)
+        df = stats.matrix(self._df, names, kind)
         place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("__index__"))
         return Frame(df.withColumn(POS, place), {"__index__": "string", **dict.fromkeys(names, "float64")})
 
@@ -550,10 +629,11 @@ class Frame:
 
         return csv_text(self.to_dataframe(), sep, header, quote, decimal)
 
-    def to_json(self, path: str) -> None:
+    def to_json(self, path: str, pretty: bool = False, lines: bool = False) -> None:
+        """One array of records in a file of the folder, or, with lines, a folder of JSON lines."""
         from .sources.json import write_json
 
-        write_json(self.to_dataframe(), path)
+        write_json(self.to_dataframe(), path, pretty, lines)
 
     def to_json_mem(self, pretty: bool = False) -> str:
         from .sources.json import json_text
@@ -565,13 +645,14 @@ class GroupBy:
     """Groups of a frame; results are frames sorted by the keys."""
 
     def __init__(self, frame: Frame, keys: list[str]) -> None:
-        self.frame, self.keys = frame, keys
-        self.groups = groups.Groups(frame._visible(frame.df).withColumnRenamed(POS, "__order"), keys, ["__order"])
-        self.groups.kinds.pop("__order")
+        self.frame, self.keys = frame.ascending(), keys
+        place = self.frame.place
+        self.groups = groups.Groups(self.frame.rows(), keys, place)
+        for n in place:
+            self.groups.kinds.pop(n)
 
     def _sorted(self, df: DataFrame) -> Frame:
-        kinds = {f.name: dtype_of(f) for f in df.schema.fields}
-        return Frame(ordered.number_rows(df, self.keys), kinds)
+        return Frame._ordered(df, self.keys, {f.name: dtype_of(f) for f in df.schema.fields})
 
     def __getattr__(self, name: str) -> Callable[..., Frame]:
         if name not in groups.BUILTIN:
@@ -587,9 +668,14 @@ class GroupBy:
     def apply(self, column: str, function: Callable, returns: str = "double") -> Frame:
         return self._sorted(self.groups.apply(column, function, returns))
 
-    def transform(self, name: str, column: str) -> Series:
-        df = self.groups.transform(name, column, "__t").withColumnRenamed("__order", POS)
-        return Series(Frame(df, self.frame.dtypes, self.frame._dense), F.col("__t"), "float64", column)
+    def transform(self, function: str | Callable, column: str, dtype: str = "float64") -> Series:
+        """Every row with its group's aggregate of the column, or with what a function makes of the group.
+
+        The function takes the group's values as a pandas Series, in row order,
+        and returns one value for all of them or one for each. See Groups.transform.
+        """
+        df = self.groups.transform(function, column, "__t", SPARK[dtype].simpleString())
+        return Series(self.frame._next(df, dense=self.frame._dense), F.col("__t"), dtype, column)
 
 
 class FrameRolling:

@@ -20,9 +20,15 @@ POS = "__pos"
 BLOCK = 500_000
 
 
-def number_rows(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """df with its dense position `__pos`, from 1, in the given order. Ties follow in any, but one fixed, order."""
+def number_rows(df: DataFrame, order: Sequence[str | Column], ties: bool = True) -> DataFrame:
+    """df with its dense position `__pos`, from 1, in the given order.
+
+    Ties follow in the order of a hash of their rows, which also spreads a
+    frequent key over ranges; `ties=False` says that there are none.
+    """
     keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    if ties:
+        keys.append(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]))
     id_ = F.monotonically_increasing_id()
     rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__id", id_)
     stored = materialize(rows, "numbered")
@@ -103,7 +109,7 @@ def ranks(df: DataFrame, value: str, block: int = BLOCK) -> DataFrame:
     numbered and their counts summed in blocks.
     """
     kept = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__k"))
-    upto = running(number_rows(kept, ["__v"]), {"__max": run_sum(F.col("__k"))}, block=block)
+    upto = running(number_rows(kept, ["__v"], ties=False), {"__max": run_sum(F.col("__k"))}, block=block)
     upto = upto.select("__v", F.col("__max"), (F.col("__max") - F.col("__k") + 1).alias("__min"))
     out = df.join(upto, F.col(value) == F.col("__v"), "left").drop("__v")
     return out
@@ -115,7 +121,7 @@ def rank(df: DataFrame, value: str, out: str, method: str = "average", block: in
     Absent values have no rank; NaN ranks behind all numbers.
     """
     if method == "first":
-        kept = number_rows(df.where(F.col(value).isNotNull()).withColumnRenamed(POS, "__old"), [value, "__old"])
+        kept = number_rows(df.where(F.col(value).isNotNull()).withColumnRenamed(POS, "__old"), [value, "__old"], ties=False)
         placed = kept.select(*[F.col("__old").alias(POS)], F.col(POS).cast("double").alias(out))
         return df.join(placed, POS, "left")
     rows = ranks(df, value, block)

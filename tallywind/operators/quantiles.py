@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 _PARTS = 65_536  # second-level bins within a first-level bin
 
 
-def group_quantiles(df: DataFrame, group: Sequence[str], value: str, q: float = 0.5) -> DataFrame:
-    """The q-quantile (linear interpolation) of each group's values: the group columns, `n`, `quantile`.
+def group_quantiles(df: DataFrame, group: Sequence[str], value: str, q: float | Sequence[float] = 0.5) -> DataFrame:
+    """The q-quantile (linear interpolation) of each group's values: the group columns, `n`, `quantile`; for a list of q `quantile_0`, ...
 
     Three counting passes narrow down to the wanted ranks: bins of 1/64 octave,
     65,536 equal parts of the bin that holds the rank, then the distinct values
@@ -37,10 +37,13 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, q: float =
 
     first = rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     total = F.sum("n").over(Window.partitionBy(*keys))
-    place = (total - 1) * F.lit(float(q))
-    ranks = F.array(F.struct(F.lit(0).alias("target"), F.floor(place).cast("long").alias("rank")), F.struct(F.lit(1).alias("target"), F.ceil(place).cast("long").alias("rank")))
+    qs = [float(q)] if isinstance(q, (int, float)) else [float(x) for x in q]
+    ranks = []
+    for i, p in enumerate(qs):
+        place = (total - 1) * F.lit(p)
+        ranks += [F.struct(F.lit(2 * i + t).alias("target"), f(place).cast("long").alias("rank"), (place - F.floor(place)).alias("share")) for t, f in ((0, F.floor), (1, F.ceil))]
     w = Window.partitionBy(*keys).orderBy("bin")
-    first = first.select(*keys, "bin", "n", "lo", "hi", total.alias("total"), (place - F.floor(place)).alias("share"), F.sum("n").over(w).alias("upto"), ranks.alias("ranks"))
+    first = first.select(*keys, "bin", "n", "lo", "hi", total.alias("total"), F.sum("n").over(w).alias("upto"), F.array(*ranks).alias("ranks"))
     first = first.select("*", F.inline("ranks")).where((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto")))
     first = first.select(*keys, "bin", "lo", "hi", "total", "share", "target", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
 
@@ -58,7 +61,9 @@ def group_quantiles(df: DataFrame, group: Sequence[str], value: str, q: float =
     second = second.select(*keys, "target", "bin", "total", "share", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi", F.col("part").alias("wanted"))
     exact = within(second, [*bounds, F.col("b.wanted").alias("wanted")]).where(F.col("part") == F.col("wanted"))
     exact = narrow(exact.groupBy(*head, "x").agg(F.count("*").alias("n")), "x")
-    low, high = (F.max(F.when(F.col("target") == t, F.col("x"))) for t in (0, 1))
-    out = exact.groupBy(*keys).agg(F.max("total").alias("n"), F.max("share").alias("share"), low.alias("low"), high.alias("high"))
-    blend = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("share"))
-    return out.select(*[F.col(k).alias(g) for g, k in zip(group, keys)], "n", blend.alias("quantile"))
+    at = lambda t, c: F.max(F.when(F.col("target") == t, F.col(c)))
+    found = [a for i in range(len(qs)) for a in (at(2 * i, "x").alias(f"low_{i}"), at(2 * i + 1, "x").alias(f"high_{i}"), at(2 * i, "share").alias(f"share_{i}"))]
+    out = exact.groupBy(*keys).agg(F.max("total").alias("n"), *found)
+    blend = lambda i: F.when(F.col(f"low_{i}") == F.col(f"high_{i}"), F.col(f"low_{i}")).otherwise(F.col(f"low_{i}") + (F.col(f"high_{i}") - F.col(f"low_{i}")) * F.col(f"share_{i}"))
+    names = ["quantile"] if isinstance(q, (int, float)) else [f"quantile_{i}" for i in range(len(qs))]
+    return out.select(*[F.col(k).alias(g) for g, k in zip(group, keys)], "n", *[blend(i).alias(n) for i, n in enumerate(names)])

@@ -24,7 +24,7 @@ def _named(df: DataFrame, names: Sequence[str]) -> None:
             raise UnknownName(n, df.columns)
 
 
-def _keys(on: str | Sequence[str] | None, left_on: Sequence[str] | None, right_on: Sequence[str] | None) -> tuple[list[str], list[str]]:
+def key_names(on: str | Sequence[str] | None, left_on: Sequence[str] | None, right_on: Sequence[str] | None) -> tuple[list[str], list[str]]:
     """A name; a pair (left name, right name); or left_on and right_on for keys of several columns."""
     if on is None:
         left, right = list(left_on or ()), list(right_on or ())
@@ -56,7 +56,7 @@ def join(
     """
     if how not in _HOW:
         raise ValueError(f"how: {how!r}")
-    left, right = _keys(on, left_on, right_on)
+    left, right = key_names(on, left_on, right_on)
     if how == "right":
         return join(b, a, None, "left", (suffixes[1], suffixes[0]), right, left)
     _named(a, left)

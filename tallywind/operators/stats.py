@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import group_quantiles
+
 NAN = float("nan")
+_TRACKED = 128
 
 
 def _num(x: Column, kind: str) -> Column:
@@ -52,7 +55,7 @@ def median(x: Column) -> Column:
 
 
 def quantile(x: Column, q: float) -> Column:
-    """Exact, with linear interpolation. For groups too large for one task use operators.quantiles."""
+    """Exact, with linear interpolation: an aggregate that holds a group's distinct values. Groups and Series use operators.quantiles instead."""
     if not 0 <= q <= 1:
         raise ValueError("q lies between 0 and 1")
     return F.percentile(x, F.lit(float(q)))
@@ -61,13 +64,22 @@ def quantile(x: Column, q: float) -> Column:
 def prod(x: Column, kind: str = "float64") -> Column:
     """Product of the present values; without any NULL for doubles, 0 for whole numbers, which raise beyond 64 bits.
 
-    Only factors beyond -1..1 are gathered: at most 63 of them in a group whose product fits.
+    The distinct factors beyond -1..1 are counted in a sketch of 128 places,
+    which is exact up to 96 of them; a product that fits has at most 20. So a
+    group of any size, with a zero or a product that does not fit, costs no more.
     """
     if kind == "float64":
         return F.product(x)
-    exact = F.aggregate(F.collect_list(F.when(F.abs(x) > 1, x)), F.lit(1).cast("long"), lambda a, v: a * v)
-    sign = F.when(F.count_if(x == -1) % 2 == 1, F.lit(-1).cast("long")).otherwise(F.lit(1).cast("long"))
-    return F.when((F.count(x) == 0) | (F.count_if(x == 0) > 0), F.lit(0).cast("long")).otherwise(exact * sign)
+    size = F.abs(x.cast("decimal(20,0)"))  # the least 64-bit number has no opposite
+    one = F.lit(1).cast("long")
+    factors = F.filter(F.call_function("approx_top_k", F.when(size > 1, size.cast("string")).otherwise("1"), F.lit(_TRACKED), F.lit(_TRACKED)), lambda f: f["item"] != "1")
+    bits = F.coalesce(F.sum(F.log2(F.when(size > 1, size.cast("double")))), F.lit(0.0))
+    fits = (bits < 63.5) & (F.size(factors) <= 64)
+    exact = F.aggregate(factors, F.lit(1).cast("decimal(38,0)"), lambda a, f: F.aggregate(F.array_repeat(f["item"].cast("decimal(20,0)"), f["count"].cast("int")), a, lambda b, v: (b * v).cast("decimal(38,0)")))
+    sign = F.when(F.count_if(x < 0) % 2 == 1, -one).otherwise(one)
+    wrong = F.raise_error(F.lit("the product is beyond 64 bits")).cast("long")
+    whole = F.when(fits, (exact * sign).cast("long")).otherwise(wrong)
+    return F.when((F.count(x) == 0) | (F.count_if(x == 0) > 0), F.lit(0).cast("long")).otherwise(whole)
 
 
 def nunique(x: Column) -> Column:
@@ -120,9 +132,12 @@ def dot(x: Column, y: Column) -> Column:
 
 
 def mad(df: DataFrame, column: str) -> DataFrame:
-    """One row: the median absolute deviation from the median (`mad`)."""
-    middle = df.agg(F.percentile(column, F.lit(0.5))).first()[0]  # one number
-    return df.agg(F.percentile(F.abs(F.col(column) - F.lit(middle).cast("double")), F.lit(0.5)).alias("mad"))
+    """One row: the median absolute deviation from the median (`mad`); without values none. Exact, whatever the number of rows."""
+    x = df.select(F.col(column).alias("x"))
+    middle = group_quantiles(x, [], "x").first()  # one number
+    if middle is None:
+        return df.sparkSession.createDataFrame([(None,)], "mad double")
+    return group_quantiles(x.select(F.abs(F.col("x") - F.lit(middle["quantile"])).alias("x")), [], "x").select(F.col("quantile").alias("mad"))
 
 
 def mode(df: DataFrame, column: str, order: str) -> DataFrame:

@@ -69,8 +69,11 @@ def groupby_agg_pricing(spark, d):
 
 @query("SELECT o_orderpriority, round(median(o_totalprice), 2) AS med, round(quantile_cont(o_totalprice, 0.9), 2) AS q90, round(stddev_samp(o_totalprice), 2) AS sd, round(sqrt(var_samp(o_totalprice)), 2) AS sv FROM orders GROUP BY 1")
 def groupby_quantile_median(spark, d):
-    o = Groups(table(spark, d, "orders"), "o_orderpriority")
-    return o.df.groupBy("o_orderpriority").agg(r(stats.median(c("o_totalprice")), 2).alias("med"), r(stats.quantile(c("o_totalprice"), 0.9), 2).alias("q90"), r(stats.std(c("o_totalprice")), 2).alias("sd"), r(F.sqrt(stats.var(c("o_totalprice"))), 2).alias("sv"))
+    g = Frame.of(table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), ["o_orderkey"]).groupby("o_orderpriority")
+    out = g.median("o_totalprice").rename({"o_totalprice": "med"})
+    for name, other in (("q90", g.quantile(0.9, "o_totalprice")), ("sd", g.std("o_totalprice")), ("var", g.var("o_totalprice"))):
+        out = out.join(other.rename({"o_totalprice": name}), "o_orderpriority")
+    return out.to_dataframe(False).select("o_orderpriority", r(c("med"), 2).alias("med"), r(c("q90"), 2).alias("q90"), r(c("sd"), 2).alias("sd"), r(F.sqrt("var"), 2).alias("sv"))
 
 
 @query("SELECT l_returnflag, count(*) AS n, quantile_cont(l_extendedprice, 0.5) AS quantile FROM lineitem GROUP BY 1")
@@ -78,18 +81,9 @@ def group_quantiles_exact(spark, d):
     return group_quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.5)
 
 
-@query("""SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price, count(DISTINCT o_orderstatus) AS statuses,
-CAST(product(o_orderkey % 5 + 1) AS BIGINT) AS p FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1 HAVING count(*) < 20""")
-def groupby_first_last_nunique_prod(spark, d):
-    o = table(spark, d, "orders").where(c("o_orderkey") % 3 == 0).withColumn("f", c("o_orderkey") % 5 + 1)
-    g = Groups(o, "o_custkey", ["o_orderkey"])
-    out = g.df.groupBy("o_custkey").agg(stats.first(c("o_totalprice"), g.order).alias("first_price"), stats.last(c("o_totalprice"), g.order).alias("last_price"), stats.nunique(c("o_orderstatus")).alias("statuses"), stats.prod(c("f"), "int64").alias("p"), F.count("*").alias("n"))
-    return out.where("n < 20").drop("n")
-
-
 @query("""SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first_price, arg_max(o_totalprice, o_orderkey) AS last_price, count(DISTINCT o_orderstatus) AS statuses,
 CAST(product(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS p FROM orders GROUP BY 1""")
-def groupby_first_last_nunique_prod_whole(spark, d):
+def groupby_first_last_nunique_prod(spark, d):
     """All orders and all groups; the factors are 1 and -1, so that no group overflows."""
     o = table(spark, d, "orders").withColumn("f", F.when(c("o_orderkey") % 2 == 0, 1).otherwise(-1).cast("long"))
     g = Groups(o, "o_custkey", ["o_orderkey"])
@@ -129,31 +123,24 @@ def join_inner(spark, d):
     return out.select("o_orderkey", "o_custkey", "o_totalprice", "c_name", "c_mktsegment")
 
 
-@query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 = 0) ON c_custkey = o_custkey")
-def join_left(spark, d):
-    out = relational.join(table(spark, d, "customer"), table(spark, d, "orders").where(c("o_orderkey") % 4 == 0), ("c_custkey", "o_custkey"), "left")
-    return out.select("c_custkey", "c_name", "o_orderkey")
-
-
 @query("SELECT c_custkey, c_name, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
-def join_left_whole(spark, d):
+def join_left(spark, d):
     out = relational.join(table(spark, d, "customer"), table(spark, d, "orders"), ("c_custkey", "o_custkey"), "left")
     return out.select("c_custkey", "c_name", "o_orderkey")
 
 
-@query("SELECT k, s.v AS v_right, n.v AS v_left FROM (SELECT CAST(s_nationkey AS BIGINT) AS k, s_name AS v FROM supplier) s LEFT JOIN (SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS v FROM nation WHERE n_regionkey < 3) n USING (k)")
+@query("SELECT k, s.v AS v_right, n.v AS v_left FROM (SELECT CAST(s_nationkey AS BIGINT) AS k, s_name AS v FROM supplier) s LEFT JOIN (SELECT CAST(n_nationkey AS BIGINT) * 2 AS k, n_name AS v FROM nation) n USING (k)")
 def join_right_suffixes(spark, d):
-    n = table(spark, d, "nation").where("n_regionkey < 3").select(c("n_nationkey").cast("long").alias("k"), c("n_name").alias("v"))
+    n = table(spark, d, "nation").select((c("n_nationkey").cast("long") * 2).alias("k"), c("n_name").alias("v"))
     s = table(spark, d, "supplier").select(c("s_nationkey").cast("long").alias("k"), c("s_name").alias("v"))
     return relational.join(n, s, "k", "right")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, a.x AS x, b.y AS y FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 2 = 0) a
-FULL JOIN (SELECT c_custkey AS k, c_mktsegment AS y FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+@query("SELECT coalesce(a.k, b.k) AS k, a.x AS x, b.y AS y FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer) a FULL JOIN (SELECT s_suppkey * 40 AS k, s_name AS y FROM supplier) b ON a.k = b.k")
 def join_outer(spark, d):
-    t = table(spark, d, "customer")
-    a = t.where("c_custkey % 2 = 0").select(c("c_custkey").alias("k"), c("c_acctbal").alias("x"))
-    b = t.where("c_custkey % 3 = 0").select(c("c_custkey").alias("k"), c("c_mktsegment").alias("y"))
+    """Some suppliers' keys lie within the customers', some beyond."""
+    a = table(spark, d, "customer").select(c("c_custkey").alias("k"), c("c_acctbal").alias("x"))
+    b = table(spark, d, "supplier").select((c("s_suppkey") * 40).alias("k"), c("s_name").alias("y"))
     return relational.join(a, b, "k", "outer")
 
 
@@ -249,31 +236,31 @@ def compare_frames(spark, d):
 
 @query("SELECT event_id, lag(v) OVER w AS prev, lead(v, 2) OVER w AS after, round(v - lag(v) OVER w, 2) AS diff, CASE WHEN lag(v) OVER w <> 0 THEN round((v - lag(v) OVER w) / lag(v) OVER w, 6) END AS pct FROM (" + _GAPPY + ") WINDOW w AS (ORDER BY event_id)")
 def shift_diff_pct(spark, d):
-    n = numbered(gappy(spark, d), "event_id")
-    x = ordered.reach_back(n, 1, {"prev": lambda w: F.lag("v").over(w), "after": lambda w: F.lead("v", 2).over(w)}, ahead=2)
-    return x.select("event_id", "prev", "after", r(c("v") - c("prev"), 2).alias("diff"), r(F.try_divide(c("v") - c("prev"), c("prev")), 6).alias("pct"))
+    f = Frame.of(gappy(spark, d), ["event_id"])
+    v = f["v"]
+    out = f.with_columns({"prev": v.shift(1), "after": v.shift(-2), "diff": v.diff(), "pct": v.pct_change()}).to_dataframe(False)
+    return out.select("event_id", "prev", "after", r(c("diff"), 2).alias("diff"), r(c("pct"), 6).alias("pct"))
 
 
 @query("SELECT event_id, CASE WHEN count(*) OVER w = count(v) OVER w THEN round(sum(v) OVER w, 2) END AS cumsum, min(v) OVER w AS lowest FROM (SELECT event_id, CASE WHEN event_id > (SELECT max(event_id) * 3 // 4 FROM events) AND event_id % 7 = 0 THEN NULL ELSE round(value, 2) END AS v FROM events) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def cumsum_null_poison(spark, d):
     e = table(spark, d, "events")
     far = e.agg(F.max("event_id")).first()[0] * 3 // 4
-    n = numbered(e.select("event_id", F.when(~((c("event_id") > far) & (c("event_id") % 7 == 0)), F.round("value", 2)).alias("v")), "event_id")
-    out = ordered.running(n, {"s": ordered.run_sum(c("v")), "gone": ordered.run_sum(F.when(c("v").isNull(), 1).otherwise(0)), "lowest": ordered.run_min(c("v"))})
-    return out.select("event_id", F.when(c("gone") == 0, r(c("s"), 2)).alias("cumsum"), "lowest")
+    f = Frame.of(e.select("event_id", F.when(~((c("event_id") > far) & (c("event_id") % 7 == 0)), F.round("value", 2)).alias("v")), ["event_id"])
+    out = f.with_columns({"cumsum": f["v"].cumsum(), "lowest": f["v"].expanding(0).min()}).to_dataframe(False)
+    return out.select("event_id", r(c("cumsum"), 2).alias("cumsum"), "lowest")
 
 
 @query("SELECT event_id, CASE WHEN v IS NOT NULL THEN min(v) OVER w END AS cummin, CASE WHEN v IS NOT NULL THEN max(v) OVER w END AS cummax FROM (" + _GAPPY + ") WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def cummin_cummax(spark, d):
-    out = ordered.running(numbered(gappy(spark, d), "event_id"), {"lo": ordered.run_min(c("v")), "hi": ordered.run_max(c("v"))})
-    return out.select("event_id", F.when(c("v").isNotNull(), c("lo")).alias("cummin"), F.when(c("v").isNotNull(), c("hi")).alias("cummax"))
+    f = Frame.of(gappy(spark, d), ["event_id"])
+    return f.with_columns({"cummin": f["v"].cummin(), "cummax": f["v"].cummax()}).to_dataframe(False).select("event_id", "cummin", "cummax")
 
 
 @query("SELECT event_id, last_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS f, first_value(v IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM (" + _GAPPY + ")")
 def ffill_bfill(spark, d):
-    n = numbered(gappy(spark, d), "event_id")
-    f = ordered.running(n, {"f": ordered.run_last(c("v"))})
-    return ordered.running(f, {"b": ordered.run_next(c("v"))}, backwards=True).select("event_id", "f", "b")
+    f = Frame.of(gappy(spark, d), ["event_id"])
+    return f.with_columns({"f": f["v"].ffill(), "b": f["v"].bfill()}).to_dataframe(False).select("event_id", "f", "b")
 
 
 _ROLL = "WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -283,30 +270,17 @@ _ROLL = "WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW
 CASE WHEN count(v) OVER w >= 2 THEN max(v) OVER w END AS hi, CASE WHEN rn >= 5 AND count(v) OVER w >= 1 THEN count(v) OVER w END AS n, CASE WHEN rn >= 5 AND count(v) OVER w >= 1 THEN round(stddev_samp(v) OVER w, 3) END AS sd,
 CASE WHEN rn >= 5 AND count(v) OVER w >= 1 THEN round(quantile_cont(v, 0.5) OVER w, 3) END AS med FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS rn FROM ({_GAPPY})) {_ROLL}""")
 def rolling_suite(spark, d):
-    def full(f: Callable) -> Callable:
-        def column(w):
-            o = w.rowsBetween(-4, 0)
-            return F.when((c(POS) >= 5) & (F.count("v").over(o) >= 1), f(c("v")).over(o))
-
-        return column
-
-    def partial(f: Callable) -> Callable:
-        def column(w):
-            o = w.rowsBetween(-4, 0)
-            return F.when(F.count("v").over(o) >= 2, f(c("v")).over(o))
-
-        return column
-
-    out = ordered.reach_back(numbered(gappy(spark, d), "event_id"), 4, {"s": full(F.sum), "m": full(F.avg), "lo": partial(F.min), "hi": partial(F.max), "n": full(F.count), "sd": full(F.stddev_samp), "med": full(lambda v: F.percentile(v, F.lit(0.5)))})
+    f = Frame.of(gappy(spark, d), ["event_id"])
+    roll, two = f["v"].rolling(5), f["v"].rolling(5).min_periods(2)
+    out = f.with_columns({"s": roll.sum(), "m": roll.mean(), "lo": two.min(), "hi": two.max(), "n": roll.count(), "sd": roll.std(), "med": roll.median()}).to_dataframe(False)
     return out.select("event_id", r(c("s"), 2).alias("s"), r(c("m")).alias("m"), "lo", "hi", "n", r(c("sd"), 3).alias("sd"), r(c("med"), 3).alias("med"))
 
 
 @query("SELECT event_id, CAST(sum(k) OVER w AS BIGINT) AS s, CAST(sum(k) OVER w AS DOUBLE) / nullif(count(k) OVER w, 0) AS m, count(k) OVER w AS n, max(k) OVER w AS hi FROM (SELECT event_id, CAST(round(v * 100) AS BIGINT) AS k FROM (" + _GAPPY + ")) WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def expanding_suite(spark, d):
-    k = F.round(c("v") * 100).cast("long")
-    n = numbered(gappy(spark, d), "event_id").withColumn("k", k)
-    out = ordered.running(n, {"s": ordered.run_sum(c("k")), "n": ordered.run_sum(F.when(c("k").isNotNull(), 1).otherwise(0)), "hi": ordered.run_max(c("k"))})
-    return out.select("event_id", "s", F.try_divide(c("s").cast("double"), c("n").cast("double")).alias("m"), c("n").cast("long").alias("n"), "hi")
+    f = Frame.of(gappy(spark, d).select("event_id", F.round(c("v") * 100).cast("long").alias("k")), ["event_id"])
+    x = f["k"].expanding(0)
+    return f.with_columns({"s": x.sum(), "m": x.mean(), "n": x.count(), "hi": x.max()}).to_dataframe(False).select("event_id", "s", "m", "n", "hi")
 
 
 @query("SELECT event_id, user_id, lag(v) OVER w AS prev, round(sum(v) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, last_value(v IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS f FROM (" + _GAPPY + ") WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
@@ -318,37 +292,38 @@ def windows_per_user(spark, d):
 @query("""SELECT event_id, CASE WHEN v IS NOT NULL THEN CAST(rank() OVER (ORDER BY v) AS DOUBLE) END AS lo, CASE WHEN v IS NOT NULL THEN CAST(rank() OVER (ORDER BY v) + count(*) OVER (PARTITION BY v) - 1 AS DOUBLE) END AS hi,
 CASE WHEN v IS NOT NULL THEN rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 END AS average FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE round(value, 0) END AS v FROM events)""".replace("ORDER BY v)", "ORDER BY v NULLS LAST)"))
 def rank_methods(spark, d):
-    e = table(spark, d, "events").select("event_id", F.when(c("event_id") % 7 != 0, F.round("value", 0)).alias("v"))
-    x = ordered.ranks(numbered(e, "event_id"), "v")
-    return x.select("event_id", c("__min").cast("double").alias("lo"), c("__max").cast("double").alias("hi"), ((c("__min") + c("__max")) / 2).alias("average"))
+    f = Frame.of(table(spark, d, "events").select("event_id", F.when(c("event_id") % 7 != 0, F.round("value", 0)).alias("v")), ["event_id"])
+    return f.with_columns({"lo": f["v"].rank("min"), "hi": f["v"].rank("max"), "average": f["v"].rank()}).to_dataframe(False).select("event_id", "lo", "hi", "average")
 
 
 @query("SELECT event_id, CAST(row_number() OVER (ORDER BY round(value, 0), event_id) AS DOUBLE) AS rank FROM events")
 def rank_first(spark, d):
-    n = numbered(table(spark, d, "events").select("event_id", F.round("value", 0).alias("v")), "event_id")
-    return ordered.rank(n, "v", "rank", "first").select("event_id", "rank")
+    f = Frame.of(table(spark, d, "events").select("event_id", F.round("value", 0).alias("v")), ["event_id"])
+    return f.assign("rank", f["v"].rank("first")).to_dataframe(False).select("event_id", "rank")
 
 
 @query("SELECT o_orderkey, round((rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 - 1) / ((SELECT count(*) FROM orders) - 1), 8) AS pct FROM (SELECT o_orderkey, round(o_totalprice, -3) AS p FROM orders)")
 def pct_rank(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", -3).alias("p"))
-    x = ordered.rank(numbered(o, "o_orderkey"), "p", "rk")
-    return x.select("o_orderkey", r((c("rk") - 1) / (o.count() - 1), 8).alias("pct"))
+    f = Frame.of(table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", -3).alias("p")), ["o_orderkey"])
+    return f.assign("pct", f["p"].pct_rank()).to_dataframe(False).select("o_orderkey", r(c("pct"), 8).alias("pct"))
 
 
 @query("SELECT o_totalprice FROM orders ORDER BY 1 DESC LIMIT 10")
 def nlargest(spark, d):
-    return table(spark, d, "orders").select("o_totalprice").where("o_totalprice is not null").orderBy(F.desc("o_totalprice")).limit(10)
+    top = Frame.of(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])["o_totalprice"].nlargest(10)
+    return spark.createDataFrame([(v,) for v in top], "o_totalprice double")
 
 
 @query("SELECT o_totalprice FROM orders ORDER BY 1 LIMIT 10")
 def nsmallest(spark, d):
-    return table(spark, d, "orders").select("o_totalprice").where("o_totalprice is not null").orderBy("o_totalprice").limit(10)
+    low = Frame.of(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"])["o_totalprice"].nsmallest(10)
+    return spark.createDataFrame([(v,) for v in low], "o_totalprice double")
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
 def sort_by_price(spark, d):
-    return numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey").select("o_orderkey", c(POS).alias("place"))
+    f = Frame.of(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"]).sort_by("o_totalprice")
+    return f.numbered().select("o_orderkey", c(POS).alias("place"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS k FROM orders) WHERE n <= 5 OR n > k - 5 OR n BETWEEN 100 AND 110")
@@ -359,8 +334,9 @@ def head_tail_iloc(spark, d):
 
 @query("SELECT s_suppkey, unnest(range(1, 1 + s_suppkey % 3)) AS copy FROM supplier")
 def rep_each(spark, d):
-    copies = F.posexplode(F.array_repeat(c("s_suppkey"), (c("s_suppkey") % 3).cast("int"))).alias("i", "x")
-    return table(spark, d, "supplier").select("s_suppkey", copies).select("s_suppkey", (c("i") + 1).cast("long").alias("copy"))
+    f = Frame.of(table(spark, d, "supplier").select("s_suppkey", (c("s_suppkey") % 3).alias("times")), ["s_suppkey"])
+    place = f["s_suppkey"].rep_each(f["times"]).to_frame().groupby("s_suppkey").transform(lambda v: range(1, len(v) + 1), "s_suppkey", "int64")
+    return place.frame.assign("copy", place).to_dataframe(False).select("s_suppkey", "copy")
 
 
 # statistics
@@ -387,13 +363,11 @@ round(skewness(v), 6) AS skew, round(kurtosis(v), 6) AS kurt, round(stddev_samp(
 
 @query(_STATS)
 def describe_numeric(spark, d):
-    g = gappy(spark, d)
-    v = c("v")
-    one = g.agg(
-        F.count(v).alias("n"), F.count_if(v.isNull()).alias("nulls"), r(stats.total(v), 2).alias("total"), r(stats.mean(v), 6).alias("mean"), r(stats.std(v), 6).alias("std"), r(stats.minimum(v)).alias("lo"), r(stats.quantile(v, 0.25)).alias("q25"), r(stats.median(v)).alias("q50"),
-        r(stats.quantile(v, 0.75)).alias("q75"), r(stats.maximum(v)).alias("hi"), r(stats.skew(v), 6).alias("skew"), r(stats.kurtosis(v), 6).alias("kurt"), r(stats.sem(v), 8).alias("sem"),
-    )
-    return one.withColumn("mad", r(F.lit(stats.mad(g, "v").first()[0])))
+    v = Frame.of(gappy(spark, d), ["event_id"])["v"]
+    x = v.describe()
+    row = {"n": x["count"], "nulls": x["nulls"], "total": round(v.sum(), 2), "mean": round(x["mean"], 6), "std": round(x["std"], 6), "lo": round(x["min"], 4), "q25": round(x["25%"], 4), "q50": round(x["50%"], 4), "q75": round(x["75%"], 4), "hi": round(x["max"], 4)}
+    row |= {"skew": round(v.skew(), 6), "kurt": round(v.kurtosis(), 6), "sem": round(v.sem(), 8), "mad": round(v.mad(), 4)}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} {'long' if n in ('n', 'nulls') else 'double'}" for n in row))
 
 
 def _matrix_sql(f: str) -> str:
@@ -419,14 +393,14 @@ def cov_matrix(spark, d):
 
 @query("SELECT round(corr(v, p), 6) AS autocorr FROM (SELECT value AS v, lag(value) OVER (ORDER BY event_id) AS p FROM events)")
 def autocorr(spark, d):
-    n = ordered.reach_back(numbered(table(spark, d, "events").select("event_id", "value"), "event_id"), 1, {"p": lambda w: F.lag("value").over(w)})
-    return n.agg(r(stats.correlation(c("value"), c("p")), 6).alias("autocorr"))
+    value = Frame.of(table(spark, d, "events").select("event_id", "value"), ["event_id"])["value"]
+    return spark.createDataFrame([(round(value.autocorr(), 6),)], "autocorr double")
 
 
 @query("SELECT (SELECT n FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, value FROM events) ORDER BY value, n LIMIT 1) AS argmin, (SELECT n FROM (SELECT row_number() OVER (ORDER BY event_id) AS n, value FROM events) ORDER BY value DESC, n LIMIT 1) AS argmax")
 def argmin_argmax(spark, d):
-    n = numbered(table(spark, d, "events").select("event_id", "value"), "event_id")
-    return n.agg(F.min_by(POS, F.struct("value", POS)).alias("argmin"), F.max_by(POS, F.struct(c("value"), -c(POS))).alias("argmax"))
+    v = Frame.of(table(spark, d, "events").select("event_id", "value"), ["event_id"])["value"]
+    return spark.createDataFrame([(v.argmin(), v.argmax())], "argmin long, argmax long")
 
 
 # predicates and choice
@@ -448,13 +422,13 @@ def where_mask_ifelse_fillna(spark, d):
 
 @query("SELECT event_id, v FROM (" + _GAPPY + ") WHERE v IS NOT NULL")
 def dropna(spark, d):
-    return gappy(spark, d).where(c("v").isNotNull()).select("event_id", "v")
+    return Frame.of(gappy(spark, d), ["event_id"]).dropna(["v"]).to_dataframe(False).select("event_id", "v")
 
 
 @query("SELECT bool_and(coalesce(o_orderkey >= p, TRUE)) AS increasing, 1 + count(*) FILTER (o_orderkey < 777) AS place FROM (SELECT o_orderkey, lag(o_orderkey) OVER (ORDER BY o_orderkey) AS p FROM orders)")
 def monotonic_searchsorted(spark, d):
-    n = ordered.reach_back(numbered(table(spark, d, "orders").select("o_orderkey"), "o_orderkey"), 1, {"p": lambda w: F.lag("o_orderkey").over(w)})
-    return n.agg(F.bool_and(F.coalesce(c("o_orderkey") >= c("p"), F.lit(True))).alias("increasing"), (F.count_if(c("o_orderkey") < 777) + 1).alias("place"))
+    k = Frame.of(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])["o_orderkey"]
+    return spark.createDataFrame([(k.is_monotonic_increasing(), k.searchsorted(777))], "increasing boolean, place long")
 
 
 # arithmetic and mathematics
@@ -579,24 +553,16 @@ def astype_matrix(spark, d):
     )
 
 
-@query("""SELECT quote_id, CAST(epoch_ms(try_cast(CASE WHEN regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})') THEN s END AS TIMESTAMPTZ)) AS BIGINT) AS ms FROM (SELECT quote_id, "timestamp" AS s FROM cotacoes) WHERE s LIKE '____-__-__T__:__:__%' AND (s LIKE '%Z' OR regexp_matches(s, '[+-][0-9]{2}:[0-9]{2}$'))""")
-def dt_parse(spark, d):
-    s = c("timestamp")
-    rows = table(spark, d, "cotacoes").where(s.like("____-__-__T__:__:__%") & (s.endswith("Z") | s.rlike(r"[+-][0-9]{2}:[0-9]{2}$")))
-    return rows.select("quote_id", dates.parse_moment_ms(s).alias("ms"))
-
-
 @query(data.moment_sql("cotacoes", "quote_id"))
-def dt_parse_whole(spark, d):
+def dt_parse(spark, d):
     """Every row, whatever the spelling; null where the text is no moment."""
     return table(spark, d, "cotacoes").select("quote_id", dates.parse_moment_ms(c("timestamp")).alias("ms"))
 
 
 @query("SELECT event_id, dense_rank() OVER (ORDER BY f) AS code FROM (SELECT event_id, min(event_id) OVER (PARTITION BY event_type) AS f FROM events)")
 def categorical_codes(spark, d):
-    e = table(spark, d, "events").select("event_id", "event_type")
-    levels = ordered.number_rows(e.groupBy("event_type").agg(F.min("event_id").alias("f")), ["f"])
-    return e.join(levels.select("event_type", c(POS).alias("code")), "event_type").select("event_id", "code")
+    f = Frame.of(table(spark, d, "events").select("event_id", "event_type"), ["event_id"]).astype({"event_type": "categorical"})
+    return f.assign("code", f["event_type"].cat.codes()).to_dataframe(False).select("event_id", "code")
 
 
 @query("SELECT mes_comp, n_pedido, qtd_un, TRY_CAST(replace(CASE WHEN valor_rs IN ('', 'NA', 'null', 'N/A', 'NULL') OR contains(valor_rs, '.') THEN NULL ELSE valor_rs END, ',', '.') AS DOUBLE) AS valor FROM pedidos")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING, Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .errors import TypeMismatch
 from .functions import casts, columns, dates, strings
 from .operators import ordered, stats
 from .operators.ordered import POS
+from .operators.quantiles import group_quantiles
 from .types import NUMERIC, ORDERED, SPARK, convert, infer
 
 if TYPE_CHECKING:
@@ -74,15 +77,12 @@ class Series:
 
     def _kept(self, rows: Callable[[DataFrame], DataFrame] | None = None) -> Series:
         """This column as a frame of its own, after a change of its rows."""
-        from .frame import Frame
-
-        df = self.frame.df.select(POS, self.col.alias(self.name))
-        out = Frame(rows(df) if rows else df, {self.name: self.dtype}, self.frame._dense and rows is None)
-        out._heavy = self.frame._heavy
+        df = self.frame._df.select(*self.frame.place, self.col.alias(self.name))
+        out = self.frame._next(rows(df) if rows else df, {self.name: self.dtype}, self.frame._dense and rows is None)
         return out[self.name]
 
     def _one(self, *aggregates: Column) -> Any:
-        row = self.frame.df.agg(*aggregates).first()
+        row = self.frame._df.agg(*aggregates).first()
         return row[0] if len(aggregates) == 1 else tuple(row)
 
     def _with(self, other: Any) -> Column:
@@ -91,7 +91,7 @@ class Series:
             return F.lit(other)
         return other.col if other.frame is self.frame else self.frame.align(other)
 
-    def _window(self, reach: int, f: Callable[[Any], Column], dtype: str | None = None, ahead: int = 0) -> Series:
+    def _window(self, reach: int, f: Callable[[Any, Column], Column], dtype: str | None = None, ahead: int = 0) -> Series:
         return self._new(self.frame.windowed(self.col, reach, f, ahead), dtype)
 
     def _running(self, how: Callable[[Column], ordered.Running], dtype: str | None = None, backwards: bool = False, x: Column | None = None) -> Series:
@@ -127,7 +127,7 @@ class Series:
         return self.set(i, None)
 
     def append(self, value: Any) -> Series:
-        spark = self.frame.df.sparkSession
+        spark = self.frame._df.sparkSession
         n = len(self)
         self.frame.numbered()
         more = spark.createDataFrame([(n + 1, convert(value, self.dtype))], f"{POS} long, v {SPARK[self.dtype].simpleString()}").toDF(POS, self.name)
@@ -139,7 +139,7 @@ class Series:
     def to_table(self, na: Any = None) -> list[Any]:
         """All values, in order, on the driver; a datetime as epoch milliseconds."""
         x = F.unix_millis(self.col) if self.dtype == "datetime" else self.col
-        return [na if r[0] is None else r[0] for r in self.frame.df.orderBy(POS).select(x.alias("x"), POS).select("x").collect()]
+        return [na if r[0] is None else r[0] for r in self.frame._df.orderBy(*self.frame._order()).select(x.alias("x")).collect()]
 
     def to_string(self, max_rows: int = LONG) -> str:
         return self.to_frame().to_string(max_rows)
@@ -190,17 +190,41 @@ class Series:
 
     def rep_each(self, n: int | Series) -> Series:
         times = self._with(n).cast("int")
-        df = self.frame.df.select(F.col(POS), F.posexplode(F.array_repeat(self.col, times)).alias("__i", self.name))
-        from .frame import Frame
-
-        return Frame(ordered.number_rows(df.withColumnRenamed(POS, "__old"), ["__old", "__i"]).select(POS, self.name), {self.name: self.dtype})[self.name]
+        df = self.frame._df.select(*self.frame.place, F.posexplode(F.array_repeat(self.col, times)).alias("__i", self.name))
+        place = [(F.col(n), asc) for n, asc in self.frame._keys or [(POS, True)]]
+        return self.frame._ordered(df, [*place, "__i"], {self.name: self.dtype})[self.name]
 
     def map(self, f: Callable, dtype: str | None = None, name: str | None = None) -> Series:
-        """f of every value: a function of a Column, or with a dtype a Python function of one present value."""
+        """f of every present value, in Arrow batches: a Python function of the value, or of the value and its position.
+
+        Without a dtype the type is that of the first result that is not None
+        (of the first present values, tried in turn on the driver); where there
+        is none the result is all absent text. Absent values stay absent. To
+        compute with Spark expressions, use map_column.
+        """
+        wants = [p for p in inspect.signature(f).parameters.values() if p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) and p.default is p.empty] if not isinstance(f, type) else [None]
+        both = len(wants) > 1
+        x = self._plain  # moments are milliseconds
+        if both:
+            self.frame.numbered()
         if dtype is None:
-            return self._new(f(self.col), name=name)
-        udf = F.udf(lambda v: None if v is None else f(v), SPARK[dtype])
-        return self._new(udf(self.col), dtype, name)
+            rows = self.frame._df.where(self.col.isNotNull()).orderBy(*self.frame._order()).select(x.alias("x"), (F.col(POS) if both else F.lit(0)).alias("i")).limit(100)
+            results = (f(r["x"], r["i"]) if both else f(r["x"]) for r in rows.collect())
+            first = next((v for v in results if v is not None), None)
+            dtype = "string" if first is None else "float64" if isinstance(first, float) else infer([first])
+
+        made_of = {"float64": pa.float64(), "int64": pa.int64(), "datetime": pa.int64(), "bool": pa.bool_()}.get(dtype, pa.string())
+
+        def values(xs: pa.Array, at: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else f(v, i) if both else f(v) for v, i in zip(xs.to_pylist(), at.to_pylist())], made_of)
+
+        apply = F.arrow_udf(values, "bigint" if dtype == "datetime" else SPARK[dtype].simpleString())
+        made = apply(x, F.col(POS) if both else F.lit(0).cast("long"))
+        return self._new(F.timestamp_millis(made) if dtype == "datetime" else made, dtype, name)
+
+    def map_column(self, f: Callable[[Column], Column], dtype: str | None = None, name: str | None = None) -> Series:
+        """A Spark expression of the column: stays in the JVM."""
+        return self._new(f(self.col), dtype, name)
 
     # conversion and absence
 
@@ -297,7 +321,7 @@ class Series:
         return self._one(F.count(self.col) == F.count_distinct(self.col))
 
     def _monotonic(self, asc: bool, strict: bool) -> bool:
-        step = self._window(1, lambda w: F.struct(F.lag(self.frame.slot).over(w).alias("p"), F.row_number().over(w).alias("i")), "struct")
+        step = self._window(1, lambda w, slot: F.struct(F.lag(slot).over(w).alias("p"), F.row_number().over(w).alias("i")), "struct")
         p, x = step.col["p"], self.col
         nan = (F.isnan(x) | F.isnan(p)) if self._float else F.lit(False)
         good = ((x > p) if strict else (x >= p)) if asc else ((x < p) if strict else (x <= p))
@@ -446,10 +470,14 @@ class Series:
 
     def quantile(self, q: float) -> float | None:
         """Exact, whatever the number of rows."""
-        from .operators.quantiles import group_quantiles
+        return self.quantiles([q])[0]
 
-        row = group_quantiles(self.frame.df.select(self._plain.alias("x")), [], "x", q).first()
-        return row["quantile"] if row else None
+    def quantiles(self, qs: Sequence[float]) -> list[float | None]:
+        """Several quantiles at once."""
+        if any(not 0 <= q <= 1 for q in qs):
+            raise ValueError("q lies between 0 and 1")
+        row = group_quantiles(self.frame._df.select(self._plain.alias("x")), [], "x", qs).first()
+        return [row[f"quantile_{i}"] if row else None for i in range(len(qs))]
 
     def mode(self) -> Any:
         if self.dtype == "bool":
@@ -502,7 +530,7 @@ class Series:
 
     def value_counts(self) -> list[tuple[Any, int]]:
         """(value, count), most frequent first, on the driver; for many of them use stats.value_counts."""
-        return [tuple(r) for r in stats.value_counts(self.frame.df.select(self._plain.alias("x")), "x").collect()]
+        return [tuple(r) for r in stats.value_counts(self.frame._df.select(self._plain.alias("x")), "x").collect()]
 
     def describe(self) -> dict[str, Any]:
         n, absent = self._one(F.count(self.col), F.count_if(self.col.isNull()))
@@ -510,7 +538,8 @@ class Series:
         if self.dtype in NUMERIC:
             names = ("mean", "std", "min", "25%", "50%", "75%", "max")
             x = self.col
-            out |= dict(zip(names, self._one(stats.mean(x), stats.std(x), stats.minimum(x, self.dtype), *[stats.quantile(x, q) for q in (0.25, 0.5, 0.75)], stats.maximum(x, self.dtype))))
+            mean, std, least, most = self._one(stats.mean(x), stats.std(x), stats.minimum(x, self.dtype), stats.maximum(x, self.dtype))
+            out |= dict(zip(names, (mean, std, least, *self.quantiles((0.25, 0.5, 0.75)), most)))
         elif self.dtype in ("string", "categorical"):
             top = self.value_counts()[:1]
             out |= {"unique": self.nunique(), "top": top[0][0] if top else None, "freq": top[0][1] if top else 0}
@@ -524,18 +553,18 @@ class Series:
 
     def nlargest(self, n: int = 5) -> list[Any]:
         self._need(*NUMERIC)
-        return [r[0] for r in self.frame.df.select(self.col.alias("x")).where("x is not null").orderBy(F.desc("x")).limit(n).collect()]
+        return [r[0] for r in self.frame._df.select(self.col.alias("x")).where("x is not null").orderBy(F.desc("x")).limit(n).collect()]
 
     def nsmallest(self, n: int = 5) -> list[Any]:
         self._need(*NUMERIC)
-        return [r[0] for r in self.frame.df.select(self.col.alias("x")).where("x is not null").orderBy("x").limit(n).collect()]
+        return [r[0] for r in self.frame._df.select(self.col.alias("x")).where("x is not null").orderBy("x").limit(n).collect()]
 
     # positional
 
     def shift(self, p: int = 1) -> Series:
         if p >= 0:
-            return self._window(p, lambda w: F.lag(self.frame.slot, p).over(w))
-        return self._window(0, lambda w: F.lead(self.frame.slot, -p).over(w), ahead=-p)
+            return self._window(p, lambda w, slot: F.lag(slot, p).over(w))
+        return self._window(0, lambda w, slot: F.lead(slot, -p).over(w), ahead=-p)
 
     def diff(self, p: int = 1) -> Series:
         if p < 1:
@@ -636,9 +665,7 @@ class Rolling:
         return Rolling(self.series, self.size, p)
 
     def _of(self, f: Callable[[Column], Column], dtype: str) -> Series:
-        slot = self.series.frame.slot
-
-        def column(w: Any) -> Column:
+        def column(w: Any, slot: Column) -> Column:
             over = w.rowsBetween(1 - self.size, 0)
             n = F.count(slot).over(over)
             enough = n >= self.least if self.least is not None else (F.col(POS) >= self.size) & (n >= 1)
@@ -708,6 +735,7 @@ class Expanding:
     def var(self) -> Series:
         # sums around the first present value keep the numbers small
         x = self.series.col.cast("double")
+        self.series.frame.numbered()
         start = self.series._one(F.min_by(x, F.when(x.isNotNull(), F.col(POS))))
         y = x - F.lit(start)
         s, q, n = self._run(ordered.run_sum, y), self._run(ordered.run_sum, y * y), self._n()
@@ -719,9 +747,8 @@ class Expanding:
 
     def median(self) -> Series:
         """By a window over all earlier rows: for frames that fit one task."""
-        slot = self.series.frame.slot
-        w = len(self.series)
-        return self.series._window(max(w - 1, 0), lambda o: F.when(F.count(slot).over(o.rowsBetween(Window.unboundedPreceding, 0)) >= self.least, F.percentile(slot, F.lit(0.5)).over(o.rowsBetween(Window.unboundedPreceding, 0))), "float64")
+        upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+        return self.series._window(max(len(self.series) - 1, 0), lambda w, slot: F.when(F.count(slot).over(upto(w)) >= self.least, F.percentile(slot, F.lit(0.5)).over(upto(w))), "float64")
 
 
 class StringAccessor:
@@ -735,16 +762,16 @@ class StringAccessor:
 
     def split(self, sep: str, max_splits: int = 0) -> Frame:
         """A column per part, as many as the widest text has; missing parts are absent."""
-        from .frame import Frame
-
         parts = strings.split(self.series.col, sep, max_splits)
         width = self.series._one(F.coalesce(F.max(F.size(parts)), F.lit(0)))
-        df = self.series.frame.df.select(POS, *[F.get(parts, i).alias(f"{i + 1}") for i in range(width)])
-        return Frame(df, {f"{i + 1}": "string" for i in range(width)})
+        frame = self.series.frame
+        df = frame._df.select(*frame.place, *[F.get(parts, i).alias(f"{i + 1}") for i in range(width)])
+        return frame._next(df, {f"{i + 1}": "string" for i in range(width)}, frame._dense)
 
     def cat(self, sep: str = "") -> str:
         """All present texts in one, in row order; the result is one driver-side text."""
-        return self.series._one(strings.join_rows(self.series.col, F.col(POS), sep))
+        frame = self.series.frame.ascending()
+        return self.series._one(strings.join_rows(self.series.col, F.struct(*frame.place), sep))
 
     join = cat
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,11 +80,35 @@ def _warn(df: DataFrame) -> None:
         warnings.warn(f"{n} values are NaN or infinite and become null", stacklevel=3)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """df as a folder of JSON lines; absent, NaN and infinite values are null, moments in ISO form."""
+def write_json(df: DataFrame, path: str, pretty: bool = False, lines: bool = True) -> None:
+    """df as a folder of JSON lines in part files, or, with lines=False, one file with an array of records, in the order of df.
+
+    Absent, NaN and infinite values are null, moments in ISO form. The array is
+    put together by one task, record by record: it is for files that other
+    programs read whole. `pretty` indents it.
+    """
     _warn(df)
     rows = _records(df)
-    rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"} | ({"pretty": "true"} if pretty else {}))
+    texts = rows.select(record.alias("value"))
+    if not lines and df.isEmpty():
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    if lines:
+        texts.write.mode("overwrite").text(path)
+        return
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                out.append(before + ("\n" if pretty else "") + text)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    texts.coalesce(1).mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
 
 def json_text(df: DataFrame, pretty: bool = False) -> str:

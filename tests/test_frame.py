@@ -226,6 +226,52 @@ def test_groupby(spark):
         Frame.from_columns([("c", ["A", None]), ("v", [1, 2])]).groupby("c")
 
 
+def test_product_of_a_large_group(spark):
+    big = spark.range(0, 50_000).selectExpr("id", "id % 2000 + 1 as x", "if(id = 7, 0, id % 900 + 2) as z", "if(id % 2 = 0, -1, 1) as s", "if(id % 10000 = 3, 2, 1) as t")
+    f = Frame.of(big.selectExpr("*", "'all' as g"), ["id"])
+    assert f.groupby("g").prod("z", "s", "t").to_dict() == {"g": ["all"], "z": [0], "s": [-1 if 25_000 % 2 else 1], "t": [32]}
+    with pytest.raises(Exception, match="64 bits"):
+        f.groupby("g").prod("x").to_dict()
+    assert Series.of([2**62, -2]).prod() == -(2**63) and Series.of([3] * 39).prod() == 3**39
+    with pytest.raises(Exception):
+        Series.of([3] * 40).prod()
+
+
+def test_functions_of_groups_and_values(spark):
+    f = Frame.from_columns([("k", ["a", "b", "a", "b", "a"]), ("v", [3, 10, 1, None, 5])])
+    assert f.groupby("k").transform(lambda v: v - v.min(), "v").to_table() == [2.0, 0.0, 0.0, None, 4.0]
+    assert f.groupby("k").transform(lambda v: len(v), "v", "int64").to_table() == [3, 2, 3, 2, 3]
+    assert f["v"].map(lambda v: v * 2).to_table() == [6, 20, 2, None, 10]
+    assert f["v"].map(lambda v, i: f"{i}:{v}").to_table() == ["1:3", "2:10", "3:1", None, "5:5"]
+    assert f["v"].map(lambda v: v / 2).dtype == "float64" and f["v"].map(lambda v: None).to_table() == [None] * 5
+    assert f["v"].map(lambda v: v > 2).dtype == "bool" and f["v"].map(str, "string").to_table() == ["3", "10", "1", None, "5"]
+
+
+def test_order_before_positions(spark):
+    """Frames are numbered when a position is asked for, and keep their order until then."""
+    df = spark.createDataFrame([(3, "c", 1.0), (1, "a", 2.0), (2, "b", 3.0)], "i long, t string, x double")
+    f = Frame.of(df, ["i"])
+    assert f["t"].to_table() == ["a", "b", "c"] and f.head(2)["t"].to_table() == ["a", "b"] and f.tail(1)["t"].to_table() == ["c"]
+    down = f.sort_by("x", asc=False)
+    assert down["t"].to_table() == ["b", "a", "c"] and down["t"].shift().to_table() == [None, "b", "a"] and down.groupby("t").first("x").to_dict()["x"] == [2.0, 3.0, 1.0]
+    assert f.filter(f["x"].gt(1.5)).iloc(2, 2).to_dict() == {"i": [2], "t": ["b"], "x": [3.0]}
+    assert f.join(down, "i").to_dict()["t_right"] == ["a", "b", "c"]
+    ties = spark.createDataFrame([(1, n) for n in range(200)], "k long, n long")
+    one, two = (Frame.of(df, ["k"])["n"].shift(1).to_table() for df in (ties, ties.repartition(5)))
+    assert one == two and len(set(one)) == 200
+
+
+def test_json_array_file(spark, tmp_path):
+    f = Frame.from_columns([("a", [1, None]), ("b", ["x", 'say "y"'])])
+    for pretty in (False, True):
+        f.to_json(str(tmp_path / "j"), pretty=pretty)
+        from tallywind.sources.json import read_json
+
+        assert read_json(spark, str(tmp_path / "j")).collect() == [(1, "x"), (None, 'say "y"')]
+    f.head(0).to_json(str(tmp_path / "none"))
+    assert spark.read.text(str(tmp_path / "none")).collect()[0][0] == "[]"
+
+
 def test_join(spark):
     a = Frame.from_columns([("k", [1, 2, 3]), ("v", ["x", "y", "z"])])
     b = Frame.from_columns([("k", [3, 1, 1, 9]), ("v", ["p", "q", "r", "s"])])

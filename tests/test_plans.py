@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from tallywind.frame import Frame
 from tallywind.plans import data, reference
 
 DATA = Path("/root/testdata/sf0.001")
@@ -28,5 +29,21 @@ def test_scans_read_what_is_needed(spark):
     assert "partial_sum" in p
 
 
+def test_frames_reach_the_scan(spark):
+    f = Frame.of(spark.read.parquet(str(DATA / "orders.parquet")), ["o_orderkey"])
+    out = f.filter(f["o_totalprice"].gt(1000.0)).assign("twice", lambda t: t["o_totalprice"] * 2).groupby("o_orderpriority").agg({"twice": ["sum", "max"]}).to_dataframe(False)
+    p = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in p.split("\n") if "FileScan" in line)
+    assert "GreaterThan(o_totalprice,1000.0)" in scan and "o_custkey" not in scan and "o_orderdate" not in scan and "numbered" not in p
+    assert p.count("Exchange") <= 1 and "partial_sum" in p
+
+
+def test_windows_of_one_frame_share_a_pass(spark):
+    f = Frame.of(spark.read.parquet(str(DATA / "orders.parquet")).select("o_orderkey", "o_totalprice"), ["o_orderkey"])
+    t = f["o_totalprice"]
+    p = f.with_columns({"a": t.shift(1), "b": t.rolling(5).sum(), "c": t.rolling(3).max(), "d": t.diff()}).to_dataframe(False)._jdf.queryExecution().executedPlan().toString()
+    assert p.count("hashpartitioning(__blk") == 1
+
+
 def test_parsing_records_shuffles_nothing(spark):
     assert "Exchange" not in plan(spark, "p5_found")
