@@ -85,14 +85,32 @@ def _split(text: str) -> tuple[dict[str, str], str]:
     return fields, body
 
 
+_LINE_REST = re.compile(r"(?:--)?[ \t]*(?=\r?\n|$)")
+
+
+def _between(body: str, mark: str) -> list[str]:
+    """The pieces of a body between the lines that consist of the mark, two more dashes and blanks allowed behind it."""
+    pieces, start, at = [], 0, body.find(mark)
+    while at >= 0:
+        rest = _LINE_REST.match(body, at + len(mark))
+        if rest and (at == 0 or body[at - 1] == "\n"):
+            end = at if at == 0 else at - 1
+            end -= end > start and body[end - 1] == "\r" and at > 0
+            pieces.append(body[start:end])
+            start = rest.end()
+            at = body.find(mark, start)
+        else:
+            at = body.find(mark, at + 1)
+    return [*pieces, body[start:]]
+
+
 def _texts(fields: dict[str, str], body: str, depth: int = 0) -> list[tuple[str, str]]:
     """(kind, text) of the parts to read, kind being plain or html; attachments and carried mails left out."""
     kind = fields.get("content-type", "text/plain").lower()
     if kind.startswith("multipart/") and depth < _DEPTH:
         mark = _BOUNDARY.search(fields["content-type"])
         if mark:
-            cut = re.split(r"(?:^|\r?\n)--" + re.escape(mark[1] or mark[2]) + r"(?:--)?[ \t]*(?=\r?\n|$)", body)
-            parts = [_texts(*_split(p.lstrip("\r\n")), depth + 1) for p in cut[1:] if p.strip()]
+            parts = [_texts(*_split(p.lstrip("\r\n")), depth + 1) for p in _between(body, "--" + (mark[1] or mark[2]))[1:] if p.strip()]
             parts = [p for p in parts if p]
             if kind.startswith("multipart/alternative"):
                 plain = [p for p in parts if p[0][0] == "plain" and p[0][1].strip()]

@@ -18,6 +18,9 @@ _TYPES = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.str
 _NAMES = ["id", "key", "variant", "copy", "kinds", "what", "seeded", "marked"]
 
 
+_REMEMBERED = 100_000  # sentences, some 500 bytes each
+
+
 def _digest(text: str) -> bytes:
     """96 bits that stand for a template's words: equal for different ones with a chance below 1e-8 even among 10**10 templates."""
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=12).digest()
@@ -32,12 +35,16 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     A variant is a template with the kinds of its slots. Code has no digests.
 
     Null, empty and blank texts, and texts without own words, give no rows.
-    Whole texts are read, whatever their length.
+    Whole texts are read, whatever their length. What a sentence is taken apart
+    into depends on the sentence alone: a task remembers the last _REMEMBERED.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[bytes, bytes, bytes, str]] = {}
         for batch in batches:
             cols: list[list] = [[] for _ in _NAMES]
+            if len(known) > _REMEMBERED:
+                known.clear()
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = own_text(text)
                 text = own.text
@@ -50,9 +57,11 @@ def take_apart_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 for (sentence, code, _), w, marked in zip(parts, what, open_fields(parts)):
                     key = variant = copy = kinds = None
                     if not code:
-                        words, kinds = take_apart(sentence)
-                        kinds = holes(words, kinds)
-                        key, variant, copy = _digest(words), _digest(f"{words}\n{kinds}"), _digest(sentence)
+                        if sentence not in known:
+                            words, kinds = take_apart(sentence)
+                            kinds = holes(words, kinds)
+                            known[sentence] = _digest(words), _digest(f"{words}\n{kinds}"), _digest(sentence), kinds
+                        key, variant, copy, kinds = known[sentence]
                     for c, v in zip(cols, (i, key, variant, copy, kinds, w, seeded, marked)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)

@@ -6,6 +6,9 @@ Plain functions on one text, for use inside Arrow batches.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+
+import ahocorasick
 
 #: How the value in a slot looks: proper (P), a variable name (V), an empty default (N), a blank (B).
 PROPER, VARIABLE, EMPTY, BLANK = "PVNB"
@@ -27,6 +30,7 @@ _EMPTY = re.compile(r"\[object Object\]|\(null\)|<nil>|(?<![\w'’])(?:undefined
 _FIELD_MARKS = ("{", "[", "<", "#", "%", "@@", "|", "__", "~", "((", "«", "^", "++", "::")  # every unfilled field holds one, or a dollar before a letter
 _DOLLAR = re.compile(r"\$[A-Za-z_{]")
 _EMPTY_MARKS = ("ull", "nil", "None", "NaN", "undefined", "[object", "#", "NULL")
+_ANY_MARK = re.compile("|".join(re.escape(m) for m in (*_FIELD_MARKS, *_EMPTY_MARKS)) + "|" + _DOLLAR.pattern)
 _TOKEN = re.compile(r"[\x01\x02\x03]|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d+|[A-Z]+_[A-Z]+|_+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
 
@@ -112,9 +116,8 @@ def take_apart(sentence: str) -> tuple[str, str]:
     into the gaps, so that records of one template have one key, whatever a
     slot holds, and also when it is blank.
     """
-    if any(m in sentence for m in _FIELD_MARKS) or _DOLLAR.search(sentence) or "xxx" in sentence.lower():
+    if _ANY_MARK.search(sentence) or "xxx" in sentence.lower():
         sentence = _VARIABLE.sub(" \x01 ", sentence)
-    if any(m in sentence for m in _EMPTY_MARKS):
         sentence = _EMPTY.sub(" \x02 ", sentence)
     tokens = _TOKEN.findall(sentence)
     words, kinds, gap, anchored = [], [], BLANK, False
@@ -180,7 +183,7 @@ def open_fields(parts: list[tuple[str, bool, bool]]) -> list[bool]:
     person has none, nor have code and a line that is announced by a colon.
     """
     out = [False] * len(parts)
-    if not any(any(m in s for m in (*_FIELD_MARKS, *_EMPTY_MARKS)) or _DOLLAR.search(s) for s, _, _ in parts):
+    if not any(_ANY_MARK.search(s) for s, _, _ in parts):
         return out
     own = [s for s, code, _ in parts if not code]
     if any(_ABOUT.search(t) or _REPORT.search(t) for t in (_EMPTY.sub(" ", _VARIABLE.sub(" ", s)) for s in own)):
@@ -204,6 +207,21 @@ _IN_A_ROW = frozenset("i we you it to or our your were try per tu eu por pro tip
 _HINTS = (*_PAGE, "script", "js", "client-side", "secuencias de comandos", "skript", "cookies")
 
 
+def _automaton(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for w in words:
+        found.add_word(w)
+    found.make_automaton()
+    return found
+
+
+_HINT, _PLACE_PART = _automaton(_HINTS), _automaton(_PLACE_PARTS)
+
+
+def _holds(text: str, words: ahocorasick.Automaton) -> bool:
+    return next(words.iter(text), None) is not None
+
+
 def _repeats(parts: list[str]) -> bool:
     """Up to three tokens, each four times or more on average."""
     return len(set(parts)) <= min(3, len(parts) // 4)
@@ -212,7 +230,7 @@ def _repeats(parts: list[str]) -> bool:
 def hinted(own: str, parts: list[tuple[str, bool, bool]]) -> bool:
     """Whether any sentence of the text may be filler or a page's line: a cheap test that holds for every text in which labels() finds one."""
     low = own.lower()
-    if any(h in low for h in _HINTS) or _may_hold_place(own, low) and _PLACE.search(own) or any(c in own for c in _FOLDED):
+    if _holds(low, _HINT) or _may_hold_place(own, low) and _PLACE.search(own) or any(c in own for c in _FOLDED):
         return True
     if ("4" in own or "5" in own) and any(_STATUS.match(s) for s, _, _ in parts if "4" in s or "5" in s):
         return True
@@ -220,7 +238,7 @@ def hinted(own: str, parts: list[tuple[str, bool, bool]]) -> bool:
 
 
 def _may_hold_place(text: str, low: str) -> bool:
-    return any(p in low for p in _PLACE_PARTS) or "TODO" in text or any(c in text for c in _FOLDED)
+    return _holds(low, _PLACE_PART) or "TODO" in text or any(c in text for c in _FOLDED)
 
 
 def is_filler(sentence: str) -> bool:
@@ -230,6 +248,7 @@ def is_filler(sentence: str) -> bool:
     return _babble(sentence)
 
 
+@lru_cache(1 << 16)
 def _babble(sentence: str) -> bool:
     """Lorem ipsum, keyboard mashing, or one word over and over."""
     low = sentence.lower()
