@@ -49,7 +49,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_residue(spark: SparkSession, d: str) -> DataFrame:
-    return find_residue(table(spark, d, "documents"))
+    return find_residue(table(spark, d, "documents"), sender_col="from_addr")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -23,13 +23,14 @@ _CODE_LINE = re.compile(r"^(?: {4,}|\t)")
 _NAME = r"[A-Za-zÀ-ÿ_][\w .\-]{0,40}?"
 _VARIABLE = re.compile(
     rf"\{{{{1,3}}[!%]? ?(?:{_NAME}|\d{{1,2}}) ?%?\}}{{1,3}}|[$#]\{{ ?{_NAME} ?\}}|<<? ?{_NAME} ?>>?|<%=? ?{_NAME} ?%>|\[\[? ?{_NAME} ?\]\]?"
-    rf"|~~?{_NAME}~~?|\(\( ?{_NAME} ?\)\)|« ?[A-Za-zÀ-ÿ_][\w.\-]{{0,40}} ?»|(?<![\d%])%(?:\([\w. ]{{1,40}}\))?[sdif](?![A-Za-z])|\^{_NAME}\^|\+\+{_NAME}\+\+|::{_NAME}::|\|\|?{_NAME}\|\|?(?! ?\w)"
+    rf"|~~?{_NAME}~~?|\(\( ?{_NAME} ?\)\)|« ?[A-Za-zÀ-ÿ_][\w.\-]{{0,40}} ?»|(?<![\d%])%(?:\([\w. ]{{1,40}}\)|\d{{1,2}}\$)?[sdif](?![A-Za-z])|\^{_NAME}\^|\+\+{_NAME}\+\+|::{_NAME}::|\|\|?{_NAME}\|\|?(?! ?\w)"
     rf"|__{_NAME}__|@@{_NAME}@@|%%?[A-Za-z_]+%%?|\*\|{_NAME}\|\*|\$[A-Za-z_]{{2,}}\$|##?[A-Za-z_]{{2,}}##?(?!\w)|\b[Xx]{{3,}}\b"
 )
 _EMPTY = re.compile(r"\[object Object\]|\(null\)|<nil>|(?<![\w'’])(?:undefined|NaN|None|null|nil|NULL)(?![\w'’])|#N/D|#N/A|#REF!")
 _FIELD_MARKS = ("{", "[", "<", "#", "%", "@@", "|", "__", "~", "((", "«", "^", "++", "::")  # every unfilled field holds one, or a dollar before a letter
 _DOLLAR = re.compile(r"\$[A-Za-z_{]")
 _EMPTY_MARKS = ("ull", "nil", "None", "NaN", "undefined", "[object", "#", "NULL")
+_WORD = re.compile(r"[^\W\d_]+")
 _ANY_MARK = re.compile("|".join(re.escape(m) for m in (*_FIELD_MARKS, *_EMPTY_MARKS)) + "|" + _DOLLAR.pattern)
 _TOKEN = re.compile(r"[\x01\x02\x03]|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d[\d.,:/\-]*\d|\d+|[A-Z]+_[A-Z]+|_+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)")
@@ -89,9 +90,9 @@ _DEMAND = re.compile(
     re.I,
 )
 # The first person of one who reports, which pages and demands do not use; the verb forms are the past of pt and es
-_REPORT = re.compile(
-    r"(?<![\w-])(?:i|i['’](?:ve|d|ll|m)|me|my|mine|eu|meus?|minhas?|comigo|yo|mis?|conmigo|ich|mir|mich|mein(?:e[mnrs]?)?)(?![\w-])|\b(?!(?:aqu|as|all|ah|caf|tamb|at|qu|ol|p)[éí]\b)\w{2,}[éí]\b|\b\w{3,}ei\b", re.I
-)
+_SPEAKER_WORDS = r"(?<![\w-])(?:i|i['’](?:ve|d|ll|m)|me|my|mine|eu|meus?|minhas?|comigo|yo|mis?|conmigo|ich|mir|mich|mein(?:e[mnrs]?)?)(?![\w-])"
+_SPEAKER = re.compile(_SPEAKER_WORDS, re.I)
+_REPORT = re.compile(_SPEAKER_WORDS + r"|\b(?!(?:aqu|as|all|ah|caf|tamb|at|qu|ol|p)[éí]\b)\w{2,}[éí]\b|\b\w{3,}ei\b", re.I)
 _CHROME = re.compile(r"^(?:(?:oo?ps|ops|oh no|whoops|sorry|desculpe|lamentamos|lo sentimos|entschuldigung|hoppla|ups)[!.,:]?|(?:please |por favor,? |bitte )?(?:wait|aguarde|espere|warten sie) \d+ (?:seconds?|segundos?|sekunden)\.?|reload|refresh|home|back|go back|privacy(?: \| \w+)*|terms|contact|retry|voltar|recarregar|início|volver|zurück|neu laden|at [\w.$]+\(.*\)|file \S+, line \d+.*|\w+error: .*|loading\W*.*|[\w ]{1,20}(?: [|·] [\w ]{1,20})+)$", re.I)
 
 
@@ -116,6 +117,8 @@ def take_apart(sentence: str) -> tuple[str, str]:
     into the gaps, so that records of one template have one key, whatever a
     slot holds, and also when it is blank.
     """
+    if sentence.isupper() and len(_WORD.findall(sentence)) > 2:
+        sentence = sentence.capitalize()  # written in capitals throughout: no names to tell
     if _ANY_MARK.search(sentence) or "xxx" in sentence.lower():
         sentence = _VARIABLE.sub(" \x01 ", sentence)
         sentence = _EMPTY.sub(" \x02 ", sentence)
@@ -199,7 +202,6 @@ def open_fields(parts: list[tuple[str, bool, bool]]) -> list[bool]:
     return out
 
 
-_WORD = re.compile(r"[^\W\d_]+")
 _ROW_SETS = tuple(map(frozenset, _ROWS))
 # Common words whose letters all lie in one row
 _IN_A_ROW = frozenset("i we you it to or our your were try per tu eu por pro tipo quer quero porque outro yo tuyo pero wo wie wir er euer a as has had all shall ask da das als falls sala fala".split())
@@ -281,6 +283,19 @@ def labels(parts: list[tuple[str, bool, bool]]) -> list[str]:
     return out
 
 
+def opening(parts: list[tuple[str, bool, bool]]) -> int:
+    """How many sentences greet before the text begins."""
+    k = 0
+    while k < len(parts) and _GREETING.match(parts[k][0]):
+        k += 1
+    return k
+
+
+def bare(parts: list[tuple[str, bool, bool]]) -> bool:
+    """Whether a text can be nothing but a page: no code, no quotation, nobody who speaks of themselves."""
+    return bool(parts) and not any(code or "\x03" in s or _SPEAKER.search(s) for s, code, _ in parts)
+
+
 def seeds(parts: list[tuple[str, bool, bool]], what: list[str]) -> bool:
     """Whether a text holds a line of known wording that may make it a page: filler, a line that stands alone, or one that may belong to a page
     - unless these are less than a third of the sentences (a full text of its own), someone reports in the first person, or it is shown as code.

@@ -162,3 +162,34 @@ def test_unfilled_majority(spark):
     data += [(410 + i, mail(f"We met {'Kaba ' if i else ''}for the answer about the table.")) for i in range(3)]  # too few to tell a hole
     got = {r.doc_id for r in find_residue(spark.createDataFrame(data, "doc_id long, text string")).where("reason = 'unfilled'").collect()}
     assert got == {*range(100, 140), *range(200, 240), 300, 301, *range(311, 315)}
+
+
+def _mail(body, sender="a@b.example"):
+    return f"From: {sender}\nSubject: x\nContent-Type: text/plain\n\n{body}"
+
+
+def test_a_repeated_page_of_unknown_wording(spark):
+    page = "Page introuvable\n\nLe contenu souhaité n'existe plus sur ce serveur."
+    chatter = ["Nous comptons {0} lignes.", "Le volume de hier a baissé.", "Merci pour la réponse rapide.", "Je te rappelle vers {0} heures."]
+    rows = [(i, _mail(page), f"s{i % 9}@x.example") for i in range(30)]
+    rng = random.Random(3)
+    rows += [(100 + i, _mail("\n".join(c.format(i) for c in rng.sample(chatter, rng.randrange(2, 5)))), f"s{i % 7}@x.example") for i in range(200)]
+    rows += [(400 + i, _mail(f"La commande {i * 37} est partie vers Lyon le {i} mai."), f"s{i % 5}@x.example") for i in range(30)]  # filled in: no page
+    rows += [(500 + i, _mail("Ce bulletin de la maison est envoyé chaque semaine."), "one@x.example") for i in range(30)]  # one sender's circular
+    df = spark.createDataFrame(rows, "doc_id long, text string, from_addr string")
+    assert {r.doc_id for r in find_residue(df, sender_col="from_addr").collect()} == set(range(30))
+    assert find_residue(df.where("doc_id < 8"), sender_col="from_addr").count() == 0  # too few copies to tell
+
+
+def test_lines_beside_known_ones_make_pages_of_their_own(spark):
+    """A line that only ever stands beside page lines is one, also where it stands alone or in capitals."""
+    rows = [(i, _mail(f"Error 50{i % 3}\n\nThe gremlins have eaten this view.")) for i in range(6)]
+    rows += [(10, _mail("The gremlins have eaten this view.")), (11, _mail("THE GREMLINS HAVE EATEN THIS VIEW.")), (12, _mail('He wrote "The gremlins have eaten this view." and left.'))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in find_residue(df).collect()} == {*range(6), 10, 11}
+
+
+def test_numbered_fields(spark):
+    rows = [(i, _mail(f"Dear Ann{'abcdef'[i % 6]},\n\nyour order {i} leaves on 0{i % 9 + 1}/03/2025.")) for i in range(12)] + [(50, _mail("Dear %1$s,\n\nyour order %2$s leaves on %3$s.")), (51, _mail("It grew by 5% in June, %1 of it at night."))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in find_residue(df).collect()] == [50]
