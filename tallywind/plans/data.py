@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import DAY_MS, parse_moment_ms
@@ -64,6 +64,21 @@ def p3_observed(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid(spark, d).where(F.col("status") == "observed").select("tbl", "asset", "slot_epoch", "readings")
 
 
+def leading_digits(x: Column, digits: int = 8) -> Column:
+    """x scaled to one digit before the point and rounded: sums in another order give the same number."""
+    return F.when(x == 0, F.lit(0.0)).when(F.abs(x) < float("inf"), F.round(x / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x)))), digits)).otherwise(x)
+
+
+def p3_filled(spark: SparkSession, d: str) -> DataFrame:
+    """The interpolated values."""
+    return p3_grid(spark, d).where(F.col("status") == "filled").select("tbl", "asset", "slot_epoch", leading_digits(F.col("value")).alias("value"))
+
+
+def p3_means(spark: SparkSession, d: str) -> DataFrame:
+    """The means of the periods with readings."""
+    return p3_grid(spark, d).where(F.col("status") == "observed").select("tbl", "asset", "slot_epoch", leading_digits(F.col("value")).alias("value"))
+
+
 def p4_trailing(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_from_unix_date(F.floor(F.col("ms") / DAY_MS).cast("int"))
     rows = known_quotes(spark, d).withColumn("day", day)
@@ -79,6 +94,11 @@ def p4_volume(spark: SparkSession, d: str) -> DataFrame:
     return p4_trailing(spark, d).select("asset", "day", "span_days", "active_rows", "active_days", "volume_total")
 
 
+def p4_averages(spark: SparkSession, d: str) -> DataFrame:
+    found = p4_trailing(spark, d)
+    return found.select("asset", "day", "span_days", *[leading_digits(F.col(c)).alias(c) for c in ("price_total", "price_avg", "volume_avg")])
+
+
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "cotacoes_raw").where(F.col("line_no") != 1)
     return parse_rows(lines, "raw_line", QUOTE_FIELDS, ["line_id"])
@@ -107,7 +127,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return differing_loads(materialize(p6_profile(spark, d), "profile"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_exact, p3_found, p3_grid, p3_observed, p4_found, p4_trailing, p4_volume, p5_found, p5_rows, p6_found, p6_profile, p6_aggregates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_exact, p3_found, p3_grid, p3_observed, p3_filled, p3_means, p4_found, p4_trailing, p4_volume, p4_averages, p5_found, p5_rows, p6_found, p6_profile, p6_aggregates)}
 
 _CLOCK = r"([T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]*)?(Z|[+-]([01][0-9]|2[0-3]):?[0-5][0-9])?)?"
 _DATES = "|".join(rf"[0-9]{{4}}{x}[0-9]{{2}}{x}[0-9]{{2}}|[0-9]{{1,2}}{x}[0-9]{{1,2}}{x}[0-9]{{4}}" for x in "-/")
@@ -148,7 +168,39 @@ def _stuck_sql(field: str, present: str) -> str:
     return f"SELECT quote_id, '{field}' AS field, 'stuck' AS reason FROM (SELECT quote_id, {field}, count(*) OVER (PARTITION BY src, run) AS n FROM ({runs})) WHERE n >= 20"
 
 
+def _digits_sql(x: str) -> str:
+    """The twin of leading_digits."""
+    return f"CASE WHEN ({x}) = 0 THEN 0 WHEN isfinite({x}) THEN round(({x}) / pow(10, floor(log10(abs({x})))), 8) ELSE {x} END"
+
+
+def _inner_sql(h0: str, h1: str, d0: str, d1: str) -> str:
+    w0, w1 = f"(2 * {h1} + {h0})", f"({h1} + 2 * {h0})"
+    return f"CASE WHEN {d0} * {d1} <= 0 THEN 0 ELSE ({w0} + {w1}) / ({w0} / {d0} + {w1} / {d1}) END"
+
+
+def _end_sql(h0: str, h1: str, d0: str, d1: str) -> str:
+    m = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"CASE WHEN {m} * {d0} <= 0 THEN 0 WHEN {d0} * {d1} <= 0 AND abs({m}) > 3 * abs({d0}) THEN 3 * {d0} ELSE {m} END"
+
+
+_KNOTS = rf"""WITH r AS ({moment_sql("cotacoes", "'cotacoes' AS tbl, asset, price")} UNION ALL {moment_sql("cotacoes_shib_brl", "'cotacoes_shib_brl', 'SHIB_BRL', price")}),
+g AS (SELECT 'cotacoes' AS tbl, asset, grid_min AS w FROM ativos UNION ALL SELECT 'cotacoes_shib_brl', asset, feed_grid_min FROM ativos WHERE asset = 'SHIB_BRL'),
+k AS (SELECT tbl, asset, w, CAST(floor(ms / (w * 60000)) AS BIGINT) AS slot, avg(price) AS v FROM r JOIN g USING (tbl, asset) WHERE ms IS NOT NULL AND price IS NOT NULL AND NOT isnan(price) GROUP BY ALL)"""
+_LINE = "OVER (PARTITION BY tbl, asset ORDER BY slot)"
+
 SQL: dict[str, str] = {
+    "p3_means": f"{_KNOTS} SELECT tbl, asset, slot * w * 60 AS slot_epoch, {_digits_sql('v')} AS value FROM k",
+    "p3_filled": f"""{_KNOTS}, a AS (SELECT *, lag(slot) {_LINE} AS ps, lag(v) {_LINE} AS pv, lead(slot) {_LINE} AS ns, lead(v) {_LINE} AS nv, lead(slot, 2) {_LINE} AS n2s, lead(v, 2) {_LINE} AS n2v FROM k),
+b AS (SELECT *, CAST(ns - slot AS DOUBLE) AS h, (nv - v) / (ns - slot) AS d, CASE WHEN slot - ps <= 13 THEN CAST(slot - ps AS DOUBLE) END AS hp, (v - pv) / (slot - ps) AS dp, CASE WHEN n2s - ns <= 13 THEN CAST(n2s - ns AS DOUBLE) END AS hn, (n2v - nv) / (n2s - ns) AS dn FROM a WHERE ns - slot BETWEEN 2 AND 13),
+m AS (SELECT *, CASE WHEN hp IS NOT NULL THEN {_inner_sql("hp", "h", "dp", "d")} WHEN hn IS NOT NULL THEN {_end_sql("h", "hn", "d", "dn")} ELSE d END AS m0, CASE WHEN hn IS NOT NULL THEN {_inner_sql("h", "hn", "d", "dn")} WHEN hp IS NOT NULL THEN {_end_sql("h", "hp", "d", "dp")} ELSE d END AS m1 FROM b),
+u AS (SELECT *, i / h AS u FROM (SELECT *, unnest(range(1, ns - slot)) AS i FROM m)),
+f AS (SELECT tbl, asset, (slot + i) * w * 60 AS slot_epoch, (2 * u * u * u - 3 * u * u + 1) * v + (u * u * u - 2 * u * u + u) * h * m0 + (3 * u * u - 2 * u * u * u) * nv + (u * u * u - u * u) * h * m1 AS y FROM u)
+SELECT tbl, asset, slot_epoch, {_digits_sql("y")} AS value FROM f WHERE isfinite(y)""",
+    "p4_averages": rf"""WITH r AS (SELECT asset, CAST(floor(ms / 86400000) AS BIGINT) AS d, volume, CASE WHEN NOT isnan(price) THEN price END AS price FROM ({moment_sql("cotacoes", "asset, volume, price")}) WHERE ms IS NOT NULL AND asset IN (SELECT asset FROM ativos)),
+a AS (SELECT asset, d, count(*) FILTER (volume > 0) AS n, CAST(sum(volume) AS DOUBLE) AS v, count(volume) AS nv, sum(price) AS p, count(price) AS np FROM r GROUP BY ALL),
+c AS (SELECT asset, unnest(range(lo, hi + 1)) AS d FROM (SELECT asset, min(d) AS lo, max(d) AS hi FROM a WHERE n > 0 GROUP BY 1)), x AS (SELECT * FROM c LEFT JOIN a USING (asset, d)),
+s AS ({" UNION ALL ".join(f"SELECT asset, d, CAST({k} AS BIGINT) AS span_days, coalesce(sum(p) OVER w, 0) AS pt, sum(p) OVER w / nullif(sum(np) OVER w, 0) AS pa, round(sum(v) OVER w / nullif(sum(nv) OVER w, 0), 6) AS va FROM x WINDOW w AS (PARTITION BY asset ORDER BY d ROWS {k - 1} PRECEDING)" for k in (7, 30))})
+SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, span_days, {_digits_sql("pt")} AS price_total, {_digits_sql("pa")} AS price_avg, {_digits_sql("va")} AS volume_avg FROM s""",
     "p2_exact": f"""WITH {_READINGS}, m AS (SELECT src, median(volume) AS usual FROM r WHERE volume > 0 GROUP BY 1)
 SELECT quote_id, 'price' AS field, 'impossible' AS reason FROM r WHERE NOT isnan(price) AND (price <= 0 OR isinf(price)) UNION ALL SELECT quote_id, 'volume', 'impossible' FROM r WHERE volume < 0
 UNION ALL SELECT quote_id, 'volume', 'spike' FROM r JOIN m USING (src) WHERE volume > 1000 * usual UNION ALL {_stuck_sql("price", "price IS NOT NULL AND NOT isnan(price)")}
