@@ -197,6 +197,13 @@ class Frame:
         self.df = ordered.rank(df, "__slot", name, method).drop("__slot")
         return F.col(name)
 
+    def running_median(self, x: Column) -> Column:
+        name = self._hidden()
+        df = materialize(self.numbered().withColumn("__slot", x), "frame")
+        self.df = ordered.running_median(df, "__slot", name).drop("__slot")
+        self._heavy = True
+        return F.col(name)
+
     def looked_up(self, x: Column, table: DataFrame, key: str, value: str) -> Column:
         name = self._hidden()
         small = table.select(F.col(key).alias("__key"), F.col(value).alias(name))

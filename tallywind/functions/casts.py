@@ -13,6 +13,7 @@ from ..types import SPARK
 from .dates import iso, parse_moment_ms
 
 _WHOLE = r"^[ \t\n\x0b\f\r]*[+-]?[0-9]+\z"
+_HEX = r"^[ \t\n\x0b\f\r]*([+-]?)0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)(?:[pP]([+-]?[0-9]{1,5}))?\z"
 _REAL = r"^[ \t\n\x0b\f\r]*[+-]?(?:(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))\z"
 
 
@@ -33,9 +34,20 @@ def to_int(s: Column) -> Column:
 
 
 def to_float(s: Column) -> Column:
-    """Strict text as a double; beyond its range is NULL. Hexadecimal numbers are not read."""
+    """Strict text as a double, decimal or hexadecimal (0x1.8p3); beyond its range is NULL, as are hexadecimal numbers of more than 16 digits."""
     x = F.btrim(s, F.lit(" \t\n\x0b\x0c\r")).try_cast("double")
-    return F.when(s.rlike(_REAL) & ((F.abs(x) != float("inf")) | F.lower(s).contains("inf") | F.isnan(x)), x)
+    usual = F.when(s.rlike(_REAL) & ((F.abs(x) != float("inf")) | F.lower(s).contains("inf") | F.isnan(x)), x)
+    return F.when(s.rlike(_HEX), _from_hex(s)).otherwise(usual)
+
+
+def _from_hex(s: Column) -> Column:
+    part = lambda i: F.regexp_extract(s, _HEX, i)
+    digits = F.concat(part(2), part(3))
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - 4 * F.length(part(3))
+    whole = F.conv(digits, 16, 10).cast("double")
+    half = F.floor(power / 2).cast("int")  # two steps: a power may leave the range where the product does not
+    x = whole * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), power - half)
+    return F.when((F.length(digits) <= 16) & (F.abs(x) < float("inf")), F.when(part(1) == "-", -x).otherwise(x))
 
 
 def cast(x: Column, source: str, target: str, dayfirst: bool = False) -> Column:

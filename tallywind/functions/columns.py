@@ -131,6 +131,32 @@ def mul(a: Column, b: Any) -> Column:
     return a * _lit(b)
 
 
+def _wrapped(plain: Column, exact: Column) -> Column:
+    """A 64-bit result; where it overflows (plain is NULL), the exact one modulo 2**64."""
+    half, whole = F.lit(str(2**63)).cast("decimal(38,0)"), F.lit(str(2**64)).cast("decimal(38,0)")
+    return F.coalesce(plain, (F.pmod(exact.cast("decimal(38,0)") + half, whole) - half).cast("bigint"))
+
+
+def add_long(a: Column, b: Any) -> Column:
+    """Whole numbers; beyond 64 bits the sum wraps around."""
+    b = _lit(b)
+    return _wrapped(F.try_add(a, b), a.cast("decimal(20,0)") + b.cast("decimal(20,0)"))
+
+
+def sub_long(a: Column, b: Any) -> Column:
+    b = _lit(b)
+    return _wrapped(F.try_subtract(a, b), a.cast("decimal(20,0)") - b.cast("decimal(20,0)"))
+
+
+def mul_long(a: Column, b: Any) -> Column:
+    """The factors' high and low halves are multiplied apart, so that no intermediate result leaves 38 digits."""
+    b = _lit(b)
+    high = F.shiftright(b, 32).cast("decimal(20,0)")
+    low = b.bitwiseAND(F.lit(2**32 - 1)).cast("decimal(20,0)")
+    x, whole = a.cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(38,0)")
+    return _wrapped(F.try_multiply(a, b), F.pmod((x * high).cast("decimal(38,0)"), F.lit(str(2**32)).cast("decimal(38,0)")) * F.lit(str(2**32)).cast("decimal(20,0)") + F.pmod((x * low).cast("decimal(38,0)"), whole))
+
+
 def div(a: Column, b: Any) -> Column:
     """True division as a double; NULL where the divisor is 0."""
     return F.try_divide(a.cast("double"), _lit(b).cast("double"))

@@ -254,15 +254,15 @@ def groupby_default_columns(spark, d):
     return out(orders(spark, d, "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority").groupby("o_orderpriority").sum()).withColumn("o_totalprice", r(c("o_totalprice"), 2))
 
 
-@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 7) AS rest, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders")
+@query("SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_orderpriority), 4) AS rest, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS nth, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS top FROM orders")
 def groupby_transform_function(spark, d):
     """Functions that return a value per row, in row order, or one for the group."""
-    f = orders(spark, d, "o_custkey", "o_totalprice")
-    g = f.groupby("o_custkey")
+    f = orders(spark, d, "o_orderpriority", "o_totalprice")
+    g = f.groupby("o_orderpriority")
     rest, nth = g.transform(lambda v: v - v.mean(), "o_totalprice"), g.transform(lambda v: range(1, len(v) + 1), "o_totalprice", "int64")
     top = g.transform(lambda v: v.max(), "o_totalprice")
     keyed = [s.frame.assign(n, s).select(["o_orderkey", n]) for n, s in (("rest", rest), ("nth", nth), ("top", top))]
-    return out(keyed[0].join(keyed[1], "o_orderkey").join(keyed[2], "o_orderkey")).withColumn("rest", r(c("rest"), 7))
+    return out(keyed[0].join(keyed[1], "o_orderkey").join(keyed[2], "o_orderkey")).withColumn("rest", r(c("rest")))
 
 
 @query("SELECT 'all' AS g, round(median(l_extendedprice), 4) AS l_extendedprice, round(quantile_cont(l_quantity, 0.5), 4) AS l_quantity FROM lineitem")
@@ -414,6 +414,23 @@ def series_arithmetic(spark, d):
     return out(f).select("o_orderkey", "s", "df", "p", r(c("fs"), 2).alias("fs"), r(c("fp")).alias("fp"), "l", "either", "both", "a")
 
 
+def _wrap_sql(x: str) -> str:
+    return f"CAST(((({x}) + 9223372036854775808) % 18446744073709551616 + 18446744073709551616) % 18446744073709551616 - 9223372036854775808 AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, {_wrap_sql('k + h')} AS s, {_wrap_sql('-k - h')} AS d, {_wrap_sql('k * 4611686018427387905')} AS p FROM (SELECT o_orderkey, CAST(o_custkey AS HUGEINT) * 4294967291 AS k, 9223372036854775000::HUGEINT AS h FROM orders)".replace("k * 4611686018427387905", "o_orderkey::HUGEINT * 4611686018427387905"))
+def series_overflow(spark, d):
+    """Whole numbers wrap around beyond 64 bits."""
+    f = Frame.of(table(spark, d, "orders").select("o_orderkey", (c("o_custkey") * 4294967291).alias("k")), ["o_orderkey"])
+    k = f["k"]
+    return out(f.with_columns({"s": k + 9223372036854775000, "d": k * -1 - 9223372036854775000, "p": f["o_orderkey"] * 4611686018427387905}), "o_orderkey", "s", "d", "p")
+
+
+@query("SELECT k, x FROM (VALUES (1, 26.0::DOUBLE), (2, 12.0), (3, -0.5), (4, NULL), (5, 255.9375), (6, NULL), (7, 1e3)) t(k, x)".replace("SELECT k,", "SELECT CAST(k AS BIGINT) AS k,"))
+def csv_hexadecimal(spark, d):
+    return read_csv_mem(spark, "k,x\n1,0x1A\n2,0x1.8p3\n3,-0X.8\n4,\n5,0xFF.F\n6,NA\n7,1e3\n")
+
+
 @query("SELECT event_id, round(cos(v), 8) AS cos, round(tan(v), 6) AS tan, isnan(x) AS bad FROM (SELECT event_id, abs(round(value, 2)) % 1.5 AS v, CASE WHEN event_id % 2 = 0 THEN 'nan'::DOUBLE ELSE 1 END AS x FROM events)")
 def series_mathematics(spark, d):
     """The logarithm and root of a negative number are NaN."""

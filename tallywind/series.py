@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING, Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .display import LONG
@@ -374,6 +374,7 @@ class Series:
             x, o = x.cast("double"), o.cast("double")
         else:
             o = o.cast("long")
+            f = {columns.add: columns.add_long, columns.sub: columns.sub_long, columns.mul: columns.mul_long}[f]
         return self._new(f(o, x) if swap else f(x, o), out)
 
     def __add__(self, o: Any) -> Series:
@@ -746,9 +747,8 @@ class Expanding:
         return self.series._new(F.sqrt(self.var().col), "float64")
 
     def median(self) -> Series:
-        """By a window over all earlier rows: for frames that fit one task."""
-        upto = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-        return self.series._window(max(len(self.series) - 1, 0), lambda w, slot: F.when(F.count(slot).over(upto(w)) >= self.least, F.percentile(slot, F.lit(0.5)).over(upto(w))), "float64")
+        """Exact, in blocks: see operators.ordered.running_median."""
+        return self._enough(self.series.frame.running_median(self.series.col), "float64")
 
 
 class StringAccessor:

@@ -1,5 +1,7 @@
 import functools
 import math
+import random
+import statistics
 
 import pytest
 
@@ -7,6 +9,7 @@ from tallywind.errors import MissingKey, TypeMismatch, UnknownName
 from tallywind.frame import Frame, concat, join
 from tallywind.operators import ordered
 from tallywind.series import Series
+from tallywind.session import materialize
 
 NAN = float("nan")
 X = [3, 1, 4, 1, 5, 9, 2, 6]
@@ -94,6 +97,27 @@ def test_windows_do_not_depend_on_blocks(spark, monkeypatch):
     same(whole[14], [5.0] + [None] * 9)
 
 
+def test_running_median_in_blocks(spark):
+    rng = random.Random(5)
+    for draw in (rng.random, lambda: float(rng.randrange(4)), lambda: -1.0):
+        values = [None if rng.random() < 0.2 else draw() for _ in range(150)]
+        rows = [(i + 1, v) for i, v in enumerate(values)]
+        df = materialize(spark.createDataFrame(rows, f"{ordered.POS} long, v double"))
+        for block in (7, 60):
+            got = {r[0]: r[2] for r in ordered.running_median(df, "v", "m", block).collect()}
+            for i in range(150):
+                seen = [v for v in values[: i + 1] if v is not None]
+                assert got[i + 1] == (pytest.approx(statistics.median(seen)) if seen else None)
+    same(Series.of([NAN, 1.0, 3.0], "float64").expanding().median().to_table(), [NAN, NAN, 3.0])
+    assert len(Series.of([], "float64").expanding().median()) == 0
+
+
+def test_whole_numbers_wrap(spark):
+    s = Series.of([2**63 - 1, -(2**63), 3])
+    assert (s + 1).to_table() == [-(2**63), -(2**63) + 1, 4] and (s - 1).to_table() == [2**63 - 2, 2**63 - 1, 2]
+    assert (s * 3).to_table() == [2**63 - 3, -(2**63), 9]
+
+
 def test_fill_and_cumulative(spark):
     x = Series.of([1, None, None, 4, None], "float64")
     same(x.ffill().to_table(), [1.0, 1.0, 1.0, 4.0, 4.0])
