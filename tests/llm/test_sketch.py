@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallywind.llm import sketch as S
+from tallywind.llm.queries import PROBABILITIES, p1_percentiles
 from tallywind.llm.sketch import decode, encode, merge, percentiles, retract, sketch
 
 NAN, INF = float("nan"), float("inf")
@@ -69,3 +72,20 @@ def test_deletions_of_merged_states(spark):
     row = percentiles(merge(state(np.r_[keep, drop]).unionByName(retract(state(drop))), ["g"]), ["g"], P).first()
     assert row.n == len(keep) and max(rank_error(keep, p, v) for p, v in zip(P, row["values"])) < 0.01
     assert percentiles(merge(state(drop).unionByName(retract(state(drop))), ["g"]), ["g"], P).count() == 0
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_rank_errors_on_the_test_table(spark):
+    """Every asset, field and probability of the query against exact ranks: within 0.01 of the rank, most far closer."""
+    d = "/root/testdata/sf0.01"
+    found = {(r.asset, r.field): r for r in p1_percentiles(spark, d).collect()}
+    rows = spark.read.parquet(f"{d}/cotacoes.parquet").select("asset", "price", "volume").toPandas()
+    errors, pairs = [], 0
+    for field in ("price", "volume"):
+        present = rows[rows[field].notna()]
+        for asset, x in present.groupby("asset", dropna=False)[field]:
+            r = found[None if asset is None or asset != asset else asset, field]
+            pairs += 1
+            assert r.n == len(x)
+            errors += [rank_error(x.to_numpy(float), p, r[f"p{round(100 * p):02d}"]) for p in PROBABILITIES]
+    assert pairs == len(found) and max(errors) < 0.01 and np.mean(errors) < 0.001
