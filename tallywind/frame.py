@@ -636,11 +636,11 @@ class Frame:
 
         return csv_text(self.to_dataframe(), sep, header, quote, decimal)
 
-    def to_json(self, path: str, pretty: bool = False, lines: bool = False) -> None:
-        """One array of records in a file of the folder, or, with lines, a folder of JSON lines."""
+    def to_json(self, path: str, pretty: bool = False, lines: bool = True) -> None:
+        """A folder of JSON lines; with pretty, or lines=False, one array of records in a file of the folder."""
         from .sources.json import write_json
 
-        write_json(self.to_dataframe(), path, pretty, lines)
+        write_json(self.to_dataframe(), path, pretty, lines and not pretty)
 
     def to_json_mem(self, pretty: bool = False) -> str:
         from .sources.json import json_text

@@ -33,11 +33,11 @@ def to_int(s: Column) -> Column:
     return F.when(s.rlike(_WHOLE), F.btrim(s, F.lit(" \t\n\x0b\x0c\r")).try_cast("bigint"))
 
 
-def to_float(s: Column) -> Column:
-    """Strict text as a double, decimal or hexadecimal (0x1.8p3); beyond its range is NULL, as are hexadecimal numbers of more than 16 digits."""
+def to_float(s: Column, hexadecimal: bool = False) -> Column:
+    """Strict text as a double; beyond its range is NULL. On request hexadecimal numbers (0x1.8p3) of up to 16 digits are read too."""
     x = F.btrim(s, F.lit(" \t\n\x0b\x0c\r")).try_cast("double")
     usual = F.when(s.rlike(_REAL) & ((F.abs(x) != float("inf")) | F.lower(s).contains("inf") | F.isnan(x)), x)
-    return F.when(s.rlike(_HEX), _from_hex(s)).otherwise(usual)
+    return F.when(s.rlike(_HEX), _from_hex(s)).otherwise(usual) if hexadecimal else usual
 
 
 def _from_hex(s: Column) -> Column:

@@ -64,9 +64,12 @@ def p3_observed(spark: SparkSession, d: str) -> DataFrame:
     return p3_grid(spark, d).where(F.col("status") == "observed").select("tbl", "asset", "slot_epoch", "readings")
 
 
+_OFF_TIES = 3.3e-10
+
+
 def leading_digits(x: Column, digits: int = 8) -> Column:
-    """x scaled to one digit before the point and rounded: sums in another order give the same number."""
-    return F.when(x == 0, F.lit(0.0)).when(F.abs(x) < float("inf"), F.round(x / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x)))), digits)).otherwise(x)
+    """x scaled to one digit before the point and rounded: sums in another order give the same number, also where it would be a tie."""
+    return F.when(x == 0, F.lit(0.0)).when(F.abs(x) < float("inf"), F.round(x / F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x)))) + _OFF_TIES, digits)).otherwise(x)
 
 
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +99,7 @@ def p4_volume(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_averages(spark: SparkSession, d: str) -> DataFrame:
     found = p4_trailing(spark, d)
-    return found.select("asset", "day", "span_days", "volume_avg", *[leading_digits(F.col(c)).alias(c) for c in ("price_total", "price_avg")])
+    return found.select("asset", "day", "span_days", *[leading_digits(F.col(c)).alias(c) for c in ("price_total", "price_avg", "volume_avg")])
 
 
 def p5_records(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +173,7 @@ def _stuck_sql(field: str, present: str) -> str:
 
 def _digits_sql(x: str) -> str:
     """The twin of leading_digits."""
-    return f"CASE WHEN ({x}) = 0 THEN 0 WHEN isfinite({x}) THEN round(({x}) / pow(10, floor(log10(abs({x})))), 8) ELSE {x} END"
+    return f"CASE WHEN ({x}) = 0 THEN 0 WHEN isfinite({x}) THEN round(({x}) / pow(10, floor(log10(abs({x})))) + {_OFF_TIES}, 8) ELSE {x} END"
 
 
 def _inner_sql(h0: str, h1: str, d0: str, d1: str) -> str:
@@ -200,7 +203,7 @@ SELECT tbl, asset, slot_epoch, {_digits_sql("y")} AS value FROM f WHERE isfinite
 a AS (SELECT asset, d, count(*) FILTER (volume > 0) AS n, CAST(sum(volume) AS DOUBLE) AS v, count(volume) AS nv, sum(price) AS p, count(price) AS np FROM r GROUP BY ALL),
 c AS (SELECT asset, unnest(range(lo, hi + 1)) AS d FROM (SELECT asset, min(d) AS lo, max(d) AS hi FROM a WHERE n > 0 GROUP BY 1)), x AS (SELECT * FROM c LEFT JOIN a USING (asset, d)),
 s AS ({" UNION ALL ".join(f"SELECT asset, d, CAST({k} AS BIGINT) AS span_days, coalesce(sum(p) OVER w, 0) AS pt, sum(p) OVER w / nullif(sum(np) OVER w, 0) AS pa, round(sum(v) OVER w / nullif(sum(nv) OVER w, 0), 6) AS va FROM x WINDOW w AS (PARTITION BY asset ORDER BY d ROWS {k - 1} PRECEDING)" for k in (7, 30))})
-SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, span_days, {_digits_sql("pt")} AS price_total, {_digits_sql("pa")} AS price_avg, va AS volume_avg FROM s""",
+SELECT asset, strftime(DATE '1970-01-01' + CAST(d AS INTEGER), '%Y-%m-%d') AS day, span_days, {_digits_sql("pt")} AS price_total, {_digits_sql("pa")} AS price_avg, {_digits_sql("va")} AS volume_avg FROM s""",
     "p2_exact": f"""WITH {_READINGS}, m AS (SELECT src, median(volume) AS usual FROM r WHERE volume > 0 GROUP BY 1)
 SELECT quote_id, 'price' AS field, 'impossible' AS reason FROM r WHERE NOT isnan(price) AND (price <= 0 OR isinf(price)) UNION ALL SELECT quote_id, 'volume', 'impossible' FROM r WHERE volume < 0
 UNION ALL SELECT quote_id, 'volume', 'spike' FROM r JOIN m USING (src) WHERE volume > 1000 * usual UNION ALL {_stuck_sql("price", "price IS NOT NULL AND NOT isnan(price)")}

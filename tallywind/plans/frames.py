@@ -428,7 +428,7 @@ def series_overflow(spark, d):
 
 @query("SELECT k, x FROM (VALUES (1, 26.0::DOUBLE), (2, 12.0), (3, -0.5), (4, NULL), (5, 255.9375), (6, NULL), (7, 1e3)) t(k, x)".replace("SELECT k,", "SELECT CAST(k AS BIGINT) AS k,"))
 def csv_hexadecimal(spark, d):
-    return read_csv_mem(spark, "k,x\n1,0x1A\n2,0x1.8p3\n3,-0X.8\n4,\n5,0xFF.F\n6,NA\n7,1e3\n")
+    return read_csv_mem(spark, "k,x\n1,0x1A\n2,0x1.8p3\n3,-0X.8\n4,\n5,0xFF.F\n6,NA\n7,1e3\n", hexadecimal=True)
 
 
 @query("SELECT event_id, round(cos(v), 8) AS cos, round(tan(v), 6) AS tan, isnan(x) AS bad FROM (SELECT event_id, abs(round(value, 2)) % 1.5 AS v, CASE WHEN event_id % 2 = 0 THEN 'nan'::DOUBLE ELSE 1 END AS x FROM events)")

@@ -19,14 +19,14 @@ from ..types import dtype_of
 _TRUE, _FALSE = ("true", "True", "TRUE"), ("false", "False", "FALSE")  # Fixed values
 
 
-def infer_columns(df: DataFrame, decimal: str = ".") -> DataFrame:
+def infer_columns(df: DataFrame, decimal: str = ".", hexadecimal: bool = False) -> DataFrame:
     """All-string columns as bool, int64, float64 or string, by one aggregate over all rows; all absent stays string."""
     names = df.columns
     safe = df.toDF(*[f"c{i}" for i in range(len(names))])
 
     def number(c: Column) -> Column:
         # a custom decimal mark replaces the point, which is then no number
-        return casts.to_float(c if decimal == "." else F.when(~F.contains(c, F.lit(".")), F.replace(c, F.lit(decimal), F.lit("."))))
+        return casts.to_float(c if decimal == "." else F.when(~F.contains(c, F.lit(".")), F.replace(c, F.lit(decimal), F.lit("."))), hexadecimal)
 
     tests = []
     for c in safe.columns:
@@ -55,7 +55,7 @@ def infer_columns(df: DataFrame, decimal: str = ".") -> DataFrame:
     return safe.select(*out)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, quote: str = '"', decimal: str = ".", na_values: Sequence[str] | None = None, multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, quote: str = '"', decimal: str = ".", na_values: Sequence[str] | None = None, multiline: bool = True, hexadecimal: bool = False) -> DataFrame:
     """A CSV file as a typed DataFrame.
 
     Quoted fields may hold separators, doubled quotes and line breaks. Blank
@@ -65,7 +65,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     An empty file is an error; a header alone gives no rows, all string. Types
     are inferred over all rows. Line ends are alike within a file (any kind);
     text after a closing quote follows Spark's reader. `multiline=False` lets Spark split large files
-    that have no line breaks inside fields.
+    that have no line breaks inside fields. `hexadecimal` reads 0x1.8p3 as a number.
     """
     if sep == decimal:
         raise ValueError("separator and decimal mark are equal")
@@ -77,10 +77,10 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True
     names = [str(v if v is not None else "") for v in head.first()] if header else [f"col{i}" for i in range(width)]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     raw = reader.option("header", header).option("enforceSchema", True).schema(schema).csv(path)
-    return _finished(raw, names, sep, decimal, na_values)
+    return _finished(raw, names, sep, decimal, na_values, hexadecimal)
 
 
-def _finished(raw: DataFrame, names: Sequence[str], sep: str, decimal: str, na_values: Sequence[str] | None) -> DataFrame:
+def _finished(raw: DataFrame, names: Sequence[str], sep: str, decimal: str, na_values: Sequence[str] | None, hexadecimal: bool) -> DataFrame:
     """All-string rows with their names, absence and types."""
     if na_values is None:
         clean = [F.when(~F.col(c).isin(*MISSING), F.col(c)) for c in raw.columns]
@@ -92,10 +92,10 @@ def _finished(raw: DataFrame, names: Sequence[str], sep: str, decimal: str, na_v
         for other in (";", "\t", "|"):
             if other != sep and all(other in s for s in sample):
                 warnings.warn(f"one column only; is the separator {other!r}?", stacklevel=3)
-    return infer_columns(rows, decimal)
+    return infer_columns(rows, decimal, hexadecimal)
 
 
-def read_csv_mem(spark: SparkSession, text: str, sep: str = ",", header: bool = True, quote: str = '"', decimal: str = ".", na_values: Sequence[str] | None = None) -> DataFrame:
+def read_csv_mem(spark: SparkSession, text: str, sep: str = ",", header: bool = True, quote: str = '"', decimal: str = ".", na_values: Sequence[str] | None = None, hexadecimal: bool = False) -> DataFrame:
     """A CSV text, on the driver, as a typed DataFrame; the rules of read_csv."""
     if sep == decimal:
         raise ValueError("separator and decimal mark are equal")
@@ -106,7 +106,7 @@ def read_csv_mem(spark: SparkSession, text: str, sep: str = ",", header: bool =
     names = rows[0] if header else [f"col{i}" for i in range(width)]
     body = [(r + [None] * width)[:width] for r in rows[header:]]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    return _finished(spark.createDataFrame(body, schema), names, sep, decimal, na_values)
+    return _finished(spark.createDataFrame(body, schema), names, sep, decimal, na_values, hexadecimal)
 
 
 def as_text(df: DataFrame, decimal: str = ".") -> DataFrame:

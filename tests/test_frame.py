@@ -288,11 +288,11 @@ def test_order_before_positions(spark):
 def test_json_array_file(spark, tmp_path):
     f = Frame.from_columns([("a", [1, None]), ("b", ["x", 'say "y"'])])
     for pretty in (False, True):
-        f.to_json(str(tmp_path / "j"), pretty=pretty)
+        f.to_json(str(tmp_path / "j"), pretty=pretty, lines=False)
         from tallywind.sources.json import read_json
 
         assert read_json(spark, str(tmp_path / "j")).collect() == [(1, "x"), (None, 'say "y"')]
-    f.head(0).to_json(str(tmp_path / "none"))
+    f.head(0).to_json(str(tmp_path / "none"), lines=False)
     assert spark.read.text(str(tmp_path / "none")).collect()[0][0] == "[]"
 
 
