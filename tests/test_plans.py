@@ -5,7 +5,9 @@ from pathlib import Path
 import pytest
 
 from tallywind.frame import Frame
+from tallywind.operators import profile
 from tallywind.plans import data, reference
+from tallywind.session import materialize
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
@@ -47,3 +49,12 @@ def test_windows_of_one_frame_share_a_pass(spark):
 
 def test_parsing_records_shuffles_nothing(spark):
     assert "Exchange" not in plan(spark, "p5_found")
+
+
+@pytest.mark.parametrize(("name", "tested"), [("p6_found", False), ("p6_aggregates", False), ("p6_changed", True)])
+def test_the_classifier_runs_where_it_is_read(spark, monkeypatch, name, tested):
+    written = []
+    monkeypatch.setattr(profile, "materialize", lambda df, name="step", **options: written.append(name) or materialize(df, name, **options))
+    found = QUERIES[name](spark, str(DATA))
+    assert ("cells" in written) == tested
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()

@@ -12,7 +12,7 @@ from tallywind.functions.dates import parse_moment_ms
 from tallywind.operators.anomalies import additive_outliers, flag_implausible, stuck_runs
 from tallywind.operators.grid import regular_grid
 from tallywind.operators.parts import store_parts
-from tallywind.operators.profile import additive_score, auc, differing_loads, fit_additive, fit_logistic, profile_loads
+from tallywind.operators.profile import additive_score, auc, changed_loads, differing_loads, fit_additive, fit_logistic, profile_loads
 from tallywind.operators.quantiles import group_quantiles
 from tallywind.operators.rowparse import Field, parse_rows
 from tallywind.operators.shards import time_shards
@@ -292,6 +292,27 @@ def test_shift_of_rare_volumes(spark):
     assert rows(differing_loads(profile)) == [(4, "volume", "shift")]
 
 
+def test_the_two_sample_test_names_loads(spark):
+    rng = random.Random(11)
+    data = []
+    for load in range(8):
+        for i in range(20 if load == 7 else 600):
+            volume = 1000 * rng.lognormvariate(0, 0.2) * (rng.choice([0.1, 1, 10]) if load == 4 else 1)  # wider, with the same median
+            asset = rng.choice("ABCDEFGH") if load != 5 else rng.choice("AAAAAABCDEFGH")
+            data.append((load, 10.0 * rng.lognormvariate(0, 0.2), int(volume), asset))
+    df = spark.createDataFrame(data, "load_id long, price double, volume long, asset string")
+    known = spark.createDataFrame([(a,) for a in "ABCDEFGH"], "asset string")
+    profile = materialize(profile_loads(df, known))
+    exact = materialize(profile_loads(df, known, two_sample=False))
+    assert set(profile.columns) - set(exact.columns) == {"auc", *[f"{c}_{w}" for c in ("price", "volume", "asset") for w in ("alone", "drop")]}
+    assert rows(profile.select(exact.columns)) == rows(exact)
+    assert rows(differing_loads(exact)) == rows(differing_loads(profile)) == []
+    assert rows(changed_loads(profile)) == [(4, "volume", "distribution"), (5, "asset", "distribution")]
+    assert rows(changed_loads(profile.where("load_id in (0, 1)"))) == [] and rows(changed_loads(profile.limit(0))) == []
+    other = profile.withColumn("auc", F.when(F.col("load_id") == 7, F.lit(0.62)).otherwise(F.lit(0.5)))  # 20 rows: within four standard errors
+    assert rows(changed_loads(other)) == [] and rows(changed_loads(other, errors=0)) != []
+
+
 # moments
 
 
